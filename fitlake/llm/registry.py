@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import bpe, line_dedup, packing, quality_rules, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_warc": warc.op4_warc,
+        "op6_bpe": bpe.op6_bpe,
+        "op10_packing": packing.op10_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return quality_rules.ORACLE | line_dedup.ORACLE
+    return quality_rules.ORACLE | warc.ORACLE | line_dedup.ORACLE
