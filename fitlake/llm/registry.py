@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality_rules, warc
+from . import (
+    bpe,
+    embedding_dedup,
+    html_text,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    warc,
+)
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_warc": warc.op4_warc,
+        "op5_quality_model": quality_model.op5_quality_model,
         "op6_bpe": bpe.op6_bpe,
-        "op10_packing": packing.op10_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op9_html_text": html_text.op9_html_text,
+        "op10_packing": packing.op10_packing,
     }
 
 
