@@ -87,7 +87,10 @@ RULES = [
 #: Identifiers that may stand between the sentences of a rule.
 PASSED_OVER = {"copyright", "all_rights"}
 #: Every known sentence has one of these words.
-_HINT = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|liable|mozilla|\bmpl\b|unencumbered|all rights|cc0|gnu|free software", re.I)
+_HINTS = (
+    "license", "licence", "copyright", "permission", "redistribut", "warrant", "liable", "mozilla", "gnu", "unencumbered",
+    "reserved", "cc0", "released", "software",
+)
 _KNOWN = [(name, re.compile(pattern, re.DOTALL)) for name, pattern in SENTENCES]
 _OPEN_ENDED = {name for name, pattern in SENTENCES if pattern.endswith(".*")}
 _END = re.compile(r"(?<=[.!?;])[\"')\]]*(?:\s+|\Z)")
@@ -97,6 +100,11 @@ _SPACE = re.compile(r"\s+")
 LONGEST = 1200
 
 
+def _hinted(text: str) -> bool:
+    text = text.lower()
+    return any(word in text for word in _HINTS)
+
+
 def normalise(sentence: str) -> str:
     """A sentence as the patterns of ``SENTENCES`` expect it."""
     out = _SPACE.sub(" ", _NOISE.sub(" ", sentence.lower())).strip()
@@ -124,7 +132,7 @@ def _in_lines(sentence: str) -> list[tuple[str, dict[str, str]]]:
             if size > LONGEST:
                 break
             part = "\n".join(lines[i : j + 1])
-            if lines[i].strip() and _HINT.search(part) and (known := identify(part)):
+            if lines[i].strip() and _hinted(part) and (known := identify(part)):
                 if known[0] not in _OPEN_ENDED or j + 1 == len(lines):
                     best = (known, j)
         if best:
@@ -136,13 +144,13 @@ def _in_lines(sentence: str) -> list[tuple[str, dict[str, str]]]:
 
 def sentence_ids(text: str) -> list[tuple[str, dict[str, str]]]:
     """The identifiers of the known sentences of a text, in order."""
-    if not _HINT.search(text):
+    if not _hinted(text):
         return []
     found, start = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         sentence = text[start:end].strip("\n")
         start = end
-        if sentence and _HINT.search(sentence):
+        if sentence and _hinted(sentence):
             known = identify(sentence) if len(sentence) <= LONGEST else None
             found += [known] if known else _in_lines(sentence)
     return found
