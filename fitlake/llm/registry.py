@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import (
     bpe,
     embedding_dedup,
     html_text,
     license_scan,
     line_dedup,
+    ngram_join,
     packing,
     quality_model,
     quality_rules,
@@ -17,6 +20,8 @@ from . import (
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_warc": warc.op4_warc,
