@@ -308,7 +308,9 @@ def link_components(
         F.col("pivot").alias("id"), "root", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")
     ).select("id", F.xxhash64("root", "size", "p").alias("group"))
     first = whole.unionAll(own.unionAll(pivots).distinct()).withColumn("known", F.col("id"))
-    links = _compare(source, first, words, percent, "links")
+    # The texts of these documents alone are shuffled again.
+    texts = materialize(source.join(members.select("id"), "id", "left_semi"), "near-texts")
+    links = _compare(texts, first, words, percent, "links")
     if not large.isEmpty():
         fine = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "known")
         inside = cut.select("id", "root", "size", "n").join(fine, "id", "left").withColumn("known", F.coalesce("known", "id"))
@@ -335,7 +337,7 @@ def link_components(
         name = [F.col("x.root"), *(F.col(f"{t}.{c}") for t in "xy" for c in ("size", "crowd", "part"))]
         sides = [pairs.select("x.root", *(f"{t}.{c}" for c in ("size", "crowd", "part")), F.xxhash64(*name).alias("group")) for t in "xy"]
         placed = named.join(sides[0].unionAll(sides[1]).distinct(), ["root", "size", "crowd", "part"]).select("id", "group", "known")
-        links = links.unionAll(_compare(source, placed, words, percent, "more-links"))
+        links = links.unionAll(_compare(texts, placed, words, percent, "more-links"))
 
     components = connected_components(links)
     per_class = classes.select("digest", F.col("rep").alias("node")).join(components, "node", "left")
