@@ -243,12 +243,12 @@ def _derived(spark, sf_dir):
     )
 
 
-@query(f"""SELECT o_orderkey AS k, 'total' AS field, o_totalprice AS declared, round(total, 4) AS derived
+@query(f"""SELECT o_orderkey AS k, 'total' AS field, o_totalprice AS declared, round(total, 6) AS derived
 FROM orders JOIN {_DERIVED} d ON k = o_orderkey WHERE abs(total - o_totalprice) > greatest(10, 0.02 * abs(o_totalprice))""")
 def declared_vs_derived(spark, sf_dir):
     declared = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
     found = matching.reconcile(declared, _derived(spark, sf_dir).select("k", "total"), ["k"], {"total": (10, 0.02)})
-    return found.select("k", "field", "declared", F.round("derived", 4).alias("derived"))
+    return found.select("k", "field", "declared", F.round("derived", 6).alias("derived"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -257,14 +257,14 @@ def records_missing(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query(f"""SELECT o_orderkey, round(coalesce(total, o_totalprice), 4) AS total, total IS NOT NULL AS enhanced,
+@query(f"""SELECT o_orderkey, round(coalesce(total, o_totalprice), 6) AS total, total IS NOT NULL AS enhanced,
   total IS NOT NULL AND abs(total - o_totalprice) > 0.01 AS disagrees FROM orders LEFT JOIN {_DERIVED} d ON k = o_orderkey""")
 def enhanced_merge(spark, sf_dir):
     d = _derived(spark, sf_dir).withColumnRenamed("k", "o_orderkey")
     both = table(spark, sf_dir, "orders").join(d, "o_orderkey", "left")
     disagrees = F.coalesce(F.abs(F.col("total") - F.col("o_totalprice")) > 0.01, F.lit(False))
     return both.select(
-        "o_orderkey", F.round(F.coalesce("total", "o_totalprice"), 4).alias("total"), F.col("total").isNotNull().alias("enhanced"), disagrees.alias("disagrees")
+        "o_orderkey", F.round(F.coalesce("total", "o_totalprice"), 6).alias("total"), F.col("total").isNotNull().alias("enhanced"), disagrees.alias("disagrees")
     )
 
 
