@@ -345,7 +345,9 @@ def link_components(
     return base.select("id", "n", "digest").join(per_class, "digest", "left").select(
         "id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id"))
+        .otherwise(F.col("id"))
+        .alias("component_id"),
     )
 
 
