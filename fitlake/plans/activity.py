@@ -87,6 +87,88 @@ def session_records(messages: DataFrame) -> DataFrame:
     return rows.join(matching.assign_sessions(rows, bounds, PART, "i"), [*PART, "i"])
 
 
+def _placed(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Rows (keys, i, t) with the session that owns them."""
+    bounds = sessions(messages).select(*PART, "session", F.coalesce("a", F.lit(10**18)).alias("a"), F.coalesce("b", "a", F.lit(10**18)).alias("b"))
+    owners = matching.assign_sessions(rows, bounds, PART, "i").select(*PART, "i", "session")
+    return rows.join(owners, [*PART, "i"])
+
+
+def laps(messages: DataFrame) -> DataFrame:
+    """Laps by the session that holds their start: i, t (start), end_t, elapsed_s, timer_s, distance_m, trigger, step_index, averages."""
+    rows = messages.where("global_num = 19").select(
+        *PART, F.col("msg_seq").alias("i"), _micros("start_time").alias("t"), _micros("timestamp").alias("end_t"),
+        _number("total_elapsed_time").alias("elapsed_s"), _number("total_timer_time").alias("timer_s"), _number("total_distance").alias("distance_m"),
+        F.get_json_object("fields", "$.lap_trigger").alias("trigger"), _number("wkt_step_index").cast("int").alias("step_index"),
+        *(_number(f"avg_{s}").alias(f"avg_{s}") for s in ("power", "speed", "heart_rate")),
+    )
+    return _placed(rows, messages)
+
+
+def lengths(messages: DataFrame) -> DataFrame:
+    """Pool lengths by session: i, t (start), end_t, elapsed_s, strokes, active (true if nothing says otherwise)."""
+    rows = messages.where("global_num = 101").select(
+        *PART, F.col("msg_seq").alias("i"), _micros("start_time").alias("t"), _micros("timestamp").alias("end_t"),
+        _number("total_elapsed_time").alias("elapsed_s"), _number("total_strokes").alias("strokes"),
+        (F.coalesce(_number("length_type"), F.lit(1.0)) == 1).alias("active"),
+    )
+    return _placed(rows, messages)
+
+
+def swolf(found: DataFrame) -> DataFrame:
+    """Per session: mean of strokes plus seconds, each rounded, of active lengths that know both."""
+    score = F.bround(F.col("strokes") + F.col("elapsed_s"))
+    return found.where("active").groupBy(*OWN).agg(F.avg(score).alias("swolf")).where("swolf IS NOT NULL")
+
+
+def timers(owned: DataFrame, messages: DataFrame) -> DataFrame:
+    """(keys, a, b) while the timer of a session ran; without events, from its first record to its last."""
+    kinds = {"start": "start", "stop": "stop", "stop_all": "stop", "stop_disable_all": "stop"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.get_json_object("fields", "$.event_type")]
+    control = messages.where("global_num = 21").where(F.get_json_object("fields", "$.event").eqNullSafe("timer"))
+    control = control.select(*PART, F.col("msg_seq").alias("i"), _micros("timestamp").alias("t"), kind.alias("timer")).where("t IS NOT NULL AND timer IS NOT NULL")
+    timed = owned.where("t IS NOT NULL").select(*OWN, "i", "t", F.lit(None).cast("string").alias("timer"))
+    both = timed.unionByName(_placed(control, messages).select(*OWN, "i", "t", "timer"))
+    return series.timer_intervals(both, OWN, ORDER, F.col("timer").eqNullSafe("start"), F.col("timer").eqNullSafe("stop"))
+
+
+def timer_seconds(intervals: DataFrame) -> DataFrame:
+    return intervals.groupBy(*OWN).agg((F.sum(F.col("b") - F.col("a")) / series.MICROS).alias("timer_time_s"))
+
+
+#: The messages and fields that hold an athlete's zones, by stream.
+ZONES = {"heart_rate": (8, "high_bpm", "file:hr_zone"), "power": (9, "high_value", "file:power_zone")}
+
+
+def file_zones(messages: DataFrame, stream: str) -> DataFrame:
+    """Per part that says them: bounds of the zones of ``stream``, by message index."""
+    number, name, basis = ZONES[stream]
+    held = messages.where(F.col("global_num") == number).select(
+        *PART, F.coalesce(_number("message_index"), F.col("msg_seq").cast("double")).alias("at"), "msg_seq", _number(name).alias("bound")
+    )
+    entry = F.struct("at", "msg_seq", "bound")
+    bounds = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["bound"])
+    return held.where("bound IS NOT NULL").groupBy(*PART).agg(bounds.alias("bounds")).withColumn("basis", F.lit(basis))
+
+
+def time_in_zones(owned: DataFrame, messages: DataFrame, stream: str, settings: list[float] | None = None) -> DataFrame:
+    """(keys, zone, seconds, basis): capped time with as many bounds below the value; zones without time are 0.
+
+    Bounds come from ``settings``, else from the file. They are never guessed: without any there are no rows.
+    """
+    if settings:
+        bounds = owned.select(*PART).distinct().withColumns({"bounds": F.array(*(F.lit(float(x)) for x in settings)), "basis": F.lit("settings")})
+    else:
+        bounds = file_zones(messages, stream)
+    rows = owned.join(bounds, PART)
+    steps = series.pairwise_dt(rows, OWN, ORDER).where(F.col("dt") > 0).where(F.col(stream).isNotNull())
+    zone = F.size(F.filter("bounds", lambda b: F.col(stream) > b))
+    spent = steps.groupBy(*OWN, zone.alias("zone")).agg(F.sum(series.capped_time(F.col("dt"), STEP_CAP_S)).alias("seconds"))
+    spine = rows.where(F.col(stream).isNotNull()).select(*OWN, "bounds", "basis").distinct()
+    spine = spine.select(*OWN, "basis", F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("zone"))
+    return spine.join(spent, [*OWN, "zone"], "left").select(*OWN, "zone", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), "basis")
+
+
 def derived_totals(owned: DataFrame) -> DataFrame:
     """Per session, of its records alone: elapsed time, distance (last less first), moving time, means, maxima, climb."""
     present = F.col("distance").isNotNull()
@@ -154,11 +236,12 @@ def report(
     """
     owned = session_records(messages)
     held = sessions(messages)
-    joined = held.join(derived_totals(owned), OWN, "left").join(effort(owned, max_hr, rest_hr, female), OWN, "left")
+    timed = timer_seconds(timers(owned, messages))
+    joined = held.join(derived_totals(owned), OWN, "left").join(timed, OWN, "left").join(swolf(lengths(messages)), OWN, "left").join(effort(owned, max_hr, rest_hr, female), OWN, "left")
     known = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit(0.0)) for n in names))
-    duration = known("elapsed_time_s", "declared.timer_time_s", "declared.elapsed_time_s")
+    duration = known("timer_time_s", "elapsed_time_s", "declared.timer_time_s", "declared.elapsed_time_s")
     distance = known("distance_m", "declared.distance_m")
-    pace_time = known("moving_time_s", "declared.timer_time_s", "elapsed_time_s", "declared.elapsed_time_s")
+    pace_time = known("moving_time_s", "timer_time_s", "declared.timer_time_s", "elapsed_time_s", "declared.elapsed_time_s")
     joined = joined.withColumns({"duration_s": duration, "covered_m": distance, "pace_s_per_km": F.when(distance > 0, pace_time / distance * 1000)})
     ratio = F.col("weighted_power") / F.lit(ftp).cast("double")
     by_power = F.col("duration_s") / 3600 * ratio * ratio * 100
@@ -172,7 +255,7 @@ def report(
         F.when(basis.isNull(), "load: no threshold that fits the sensors"),
     ))
     return joined.select(
-        *OWN, "sport", "rebuilt", "n_records", F.bround("duration_s", 1).alias("duration_s"), "moving_time_s",
+        *OWN, "sport", "rebuilt", "n_records", F.bround("duration_s", 1).alias("duration_s"), "timer_time_s", "moving_time_s", "swolf",
         F.bround("covered_m", 1).alias("distance_m"), F.bround("pace_s_per_km", 1).alias("pace_s_per_km"), "ascent_m", "descent_m",
         *(f"{k}_{s}" for s in ("heart_rate", "power", "speed", "cadence") for k in ("avg", "max")),
         "work_kj", "weighted_power", (F.col("weighted_power") / F.nullif(F.col("avg_power"), F.lit(0.0))).alias("variability"),

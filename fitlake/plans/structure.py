@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import series
-from .activity import ORDER, OWN
+from . import activity
+from .activity import ORDER, OWN, PART
 
 #: Shortest work and recovery (s), fewest repeats and samples, widest spread of durations, tolerances of repeats.
 LEAST_S = {"work": 20.0, "recovery": 15.0}
@@ -25,6 +26,12 @@ SPLIT_PCT = 2.0
 DRIFT_PCT = 5.0
 COASTING_PCT = 25.0
 LEAST_HALF = 60
+#: Kinds of interval by the intensity of a workout's step, shares of the reference of work and recovery, rest that ends a swim.
+STEP_KINDS = {"active": "work", "interval": "work", "rest": "rest", "recovery": "recovery", "warmup": "warmup", "cooldown": "cooldown"}
+WORK_BAND, RECOVERY_BAND = 1.10, 0.85
+SET_REST_S = 10
+#: Sports whose effort is judged by power where there is any.
+BY_POWER = ("cycling", "rowing")
 
 _INTERVALS = "session_intervals array<struct<kind:string,first_t:long,last_t:long,duration_s:double,intensity:double,repeat:int>>"
 
@@ -52,6 +59,24 @@ def merge_runs(runs: list[dict]) -> list[dict]:
     return out
 
 
+def _known(x) -> bool:
+    return x is not None and x == x
+
+
+def alike(a: dict, b: dict) -> bool:
+    """Whether two pieces of work repeat each other: swims by their lengths, others by duration and intensity (if known)."""
+    if _known(a.get("lengths")) and _known(b.get("lengths")):
+        return a["lengths"] == b["lengths"]
+
+    def near(name: str, tolerance: float) -> bool:
+        return abs(a[name] - b[name]) <= tolerance * max(a[name], b[name])
+
+    if not (_known(a["duration_s"]) and _known(b["duration_s"])) or max(a["duration_s"], b["duration_s"]) <= 0 or not near("duration_s", DURATION_TOLERANCE):
+        return False
+    both = _known(a["intensity"]) and _known(b["intensity"])
+    return not both or max(a["intensity"], b["intensity"]) <= 0 or near("intensity", INTENSITY_TOLERANCE)
+
+
 def group_repeats(intervals: list[dict]) -> list[dict]:
     """Adds repeat to work: a number for neighbours that are alike. Each is compared with the first of its group."""
     anchor, number = None, 0
@@ -59,11 +84,7 @@ def group_repeats(intervals: list[dict]) -> list[dict]:
         x["repeat"] = None
         if x["kind"] != "work":
             continue
-        alike = anchor is not None and (
-            abs(x["duration_s"] - anchor["duration_s"]) <= DURATION_TOLERANCE * anchor["duration_s"]
-            and abs(x["intensity"] - anchor["intensity"]) <= INTENSITY_TOLERANCE * anchor["intensity"]
-        )
-        if not alike:
+        if anchor is None or not alike(anchor, x):
             anchor, number = x, number + 1
         x["repeat"] = number
     return intervals
@@ -99,6 +120,104 @@ def intervals(owned: DataFrame, signal: str) -> DataFrame:
     return rows.select(*OWN, (F.col("at") + 1).alias("index"), "x.*")
 
 
+def with_signal(owned: DataFrame, held: DataFrame) -> DataFrame:
+    """Adds signal: power in sports that are judged by it, if the session has any, else speed; and signal_name."""
+    powered = owned.groupBy(*OWN).agg((F.count("power") > 0).alias("powered")).join(held.select(*OWN, "sport"), OWN, "left")
+    by_power = F.col("powered") & F.col("sport").isin(*BY_POWER)
+    named = powered.select(*OWN, F.when(by_power, "power").otherwise("speed").alias("signal_name"))
+    both = owned.join(named, OWN)
+    return both.withColumn("signal", F.when(F.col("signal_name") == "power", F.col("power")).otherwise(F.col("speed")))
+
+
+def lap_intervals(owned: DataFrame, messages: DataFrame, from_records: bool = False) -> DataFrame:
+    """Intervals of the sessions whose laps say the structure: a workout's steps, else two laps or more by hand.
+
+    ``owned`` has signal. Intensities are the laps' own averages, or with ``from_records`` those of the records
+    from a lap's start up to (not with) its end, where there are any. The kind comes from the step's intensity,
+    else from the share of the reference.
+    """
+    laps = activity.laps(messages)
+    basis = laps.groupBy(*OWN).agg(
+        F.when(F.count("step_index") > 0, "steps:workout").when(F.count_if(F.col("trigger") == "manual") >= 2, "laps:manual").alias("basis")
+    ).where("basis IS NOT NULL")
+    names = owned.select(*OWN, "signal_name").distinct()
+    used = laps.join(basis, OWN).join(names, OWN, "left")
+    said = F.when(F.col("signal_name") == "power", F.col("avg_power")).otherwise(F.col("avg_speed"))
+    used = used.withColumn("intensity", said)
+    if from_records:
+        spans = used.select(*OWN, F.col("i").alias("lap"), F.col("t").alias("a"), (F.col("t") + F.col("elapsed_s") * series.MICROS).cast("long").alias("b"))
+        on = [owned[k] == spans[k] for k in OWN] + [owned["t"] >= spans["a"], owned["t"] < spans["b"]]
+        inside = spans.join(owned, on).groupBy(*(spans[k] for k in OWN), spans["lap"]).agg(F.avg("signal").alias("measured"))
+        used = used.join(inside.withColumnRenamed("lap", "i"), [*OWN, "i"], "left").withColumn("intensity", F.coalesce("measured", "intensity"))
+    steps = messages.where("global_num = 27").select(
+        *PART, F.get_json_object("fields", "$.message_index").cast("int").alias("step_index"), "msg_seq",
+        F.get_json_object("fields", "$.intensity").alias("step_intensity"),
+    ).where("step_index IS NOT NULL AND step_intensity IS NOT NULL")
+    steps = steps.groupBy(*PART, "step_index").agg(F.max_by("step_intensity", "msg_seq").alias("step_intensity"))
+    used = used.join(steps, [*PART, "step_index"], "left").join(series.band_reference(used, OWN, "intensity"), OWN, "left")
+    ratio = F.col("intensity") / F.when(F.col("reference") > 0, F.col("reference"))
+    relative = F.when(ratio >= WORK_BAND, "work").when(ratio <= RECOVERY_BAND, "recovery").otherwise("steady")
+    step = F.coalesce(F.create_map(*[F.lit(x) for pair in STEP_KINDS.items() for x in pair])[F.col("step_intensity")], F.lit("steady"))
+    kind = F.when((F.col("basis") == "steps:workout") & F.col("step_index").isNotNull(), step).otherwise(relative)
+    return used.select(
+        *OWN, "basis", F.col("i").alias("place"), kind.alias("kind"), F.col("t").alias("first_t"),
+        (F.col("t") + F.col("elapsed_s") * series.MICROS).cast("long").alias("last_t"),
+        F.coalesce(F.nullif("timer_s", F.lit(0.0)), "elapsed_s").alias("duration_s"), "distance_m", "intensity",
+        F.lit(None).cast("long").alias("lengths"), "step_index",
+    )
+
+
+def swim_intervals(owned: DataFrame, messages: DataFrame, held: DataFrame) -> DataFrame:
+    """Swims of pool sessions: active lengths with less than 10 s at the wall between them; a rest that isn't known ends a swim."""
+    lengths = activity.lengths(messages).where("active").join(held.where("sport = 'swimming'").select(*OWN, F.col("declared.distance_m").alias("said_m")), OWN)
+    pool = messages.where("global_num = 18").select(*PART, "msg_seq", F.get_json_object("fields", "$.pool_length").cast("double").alias("pool"))
+    pool = pool.where("pool > 0").groupBy(*PART).agg(F.min_by("pool", "msg_seq").alias("pool"))
+    swum = activity.derived_totals(owned).select(*OWN, F.col("distance_m").alias("swum_m"))
+    w = series.over(OWN, ["i"])
+    rest = (F.col("t") - F.lag("end_t").over(w)) / series.MICROS
+    new = F.coalesce((rest >= SET_REST_S).cast("int"), F.lit(1))
+    sets = lengths.withColumn("new", new).withColumn("place", F.sum("new").over(w)).groupBy(*OWN, "place").agg(
+        F.min_by("t", "i").alias("first_t"), F.max_by("end_t", "i").alias("last_t"), F.sum("elapsed_s").alias("spent"),
+        F.count(F.lit(1)).alias("lengths"), F.first("said_m").alias("said_m"),
+    )
+    all_lengths = lengths.groupBy(*OWN).agg(F.count(F.lit(1)).alias("n"))
+    sets = sets.join(all_lengths, OWN).join(pool, PART, "left").join(swum, OWN, "left")
+    one = F.coalesce("pool", F.coalesce(F.nullif("swum_m", F.lit(0.0)), "said_m") / F.col("n"))
+    span = (F.col("last_t") - F.col("first_t")) / series.MICROS
+    sets = sets.withColumn("distance_m", one * F.col("lengths")).withColumn("duration_s", F.coalesce(F.nullif("spent", F.lit(0.0)), span))
+    return sets.select(
+        *OWN, F.lit("lengths:sets").alias("basis"), "place", F.lit("work").alias("kind"), "first_t", "last_t", "duration_s", "distance_m",
+        (F.col("distance_m") / F.when(F.col("duration_s") > 0, F.col("duration_s"))).alias("intensity"), "lengths",
+        F.lit(None).cast("int").alias("step_index"),
+    )
+
+
+def structure(messages: DataFrame, from_records: bool = False) -> DataFrame:
+    """One row per interval of each session with a structure, by the best evidence there is: laps (of a workout's
+    steps, or by hand), swims of a pool, else bands of power or speed. ``basis`` names it. Sessions without have no rows."""
+    held = activity.sessions(messages)
+    owned = with_signal(activity.session_records(messages), held)
+    told = lap_intervals(owned, messages, from_records)
+    swims = swim_intervals(owned, messages, held).join(told.select(*OWN).distinct(), OWN, "left_anti")
+    told = told.unionByName(swims)
+    silent = owned.join(told.select(*OWN).distinct(), OWN, "left_anti")
+    named = silent.select(*OWN, F.concat(F.lit("detected:"), "signal_name", F.lit("-steps")).alias("basis")).distinct()
+    found = intervals(silent, "signal").join(named, OWN).select(
+        *OWN, "basis", F.col("index").cast("long").alias("place"), "kind", "first_t", "last_t", "duration_s",
+        F.lit(None).cast("double").alias("distance_m"), "intensity", F.lit(None).cast("long").alias("lengths"), F.lit(None).cast("int").alias("step_index"),
+    )
+    rows = told.unionByName(found)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("place").schema)
+
+    def number(session: pd.DataFrame) -> pd.DataFrame:
+        ordered = session.sort_values("place")
+        records = group_repeats(ordered.drop(columns="place").astype(object).where(ordered.drop(columns="place").notna(), None).to_dict("records"))
+        return pd.DataFrame(records).assign(index=range(1, len(records) + 1))
+
+    # Only intervals are handed to Python, a session at a time.
+    return rows.groupBy(*OWN).applyInPandas(number, f"{schema}, repeat int, index int")
+
+
 def repeat_groups(found: DataFrame) -> DataFrame:
     """Repeats of work (two and more alike): count, mean duration, mean intensity, mean recovery after each but the last."""
     w = series.over(OWN, ["index"])
