@@ -12,9 +12,10 @@ import sys
 from datetime import datetime, timezone
 from pathlib import Path
 
+from .functions import codes
 from .operators import verbs
 from .sinks import canonical
-from .sources.fit import parse
+from .sources.fit import StrictError, parse, read_messages
 
 OK, REMARKS, UNUSABLE, NOT_FIT, USAGE = 0, 2, 3, 4, 64
 
@@ -26,9 +27,9 @@ class _Parser(argparse.ArgumentParser):
         raise SystemExit(USAGE)
 
 
-def document(content: bytes, strip_pii: bool = False) -> dict:
+def document(content: bytes, strip_pii: bool = False, mode: str = "lenient") -> dict:
     """What a file holds, as plain values: identity, messages in order, provenance, error."""
-    found = parse(content)
+    found = parse(content, mode)
     messages = [m for m in found.messages if not (strip_pii and m["name"] == "user_profile")]
     hidden = {"serial_number"} if strip_pii else set()
     return canonical.json_safe({
@@ -73,8 +74,15 @@ def _parser() -> argparse.ArgumentParser:
     parser = _Parser(prog="fitlake")
     sub = parser.add_subparsers(dest="verb", required=True, parser_class=_Parser)
     made = {name: sub.add_parser(name) for name in ("parse", "inspect", "repair", "validate", "edit", "trim", "doctor", "reveal", "scrub")}
+    made["analyze"] = sub.add_parser("analyze")
     for p in made.values():
         p.add_argument("file")
+    sub.add_parser("codes")
+    for name in ("parse", "analyze"):
+        made[name].add_argument("--mode", choices=("lenient", "strict", "forensic"), default="lenient")
+    for option in ("--ftp", "--max-hr", "--rest-hr"):
+        made["analyze"].add_argument(option, type=float)
+    made["analyze"].add_argument("--female", action="store_true")
     for name in ("repair", "edit", "trim", "scrub"):
         made[name].add_argument("-o", "--output", required=True)
     made["parse"].add_argument("--strip-pii", action="store_true")
@@ -107,8 +115,27 @@ def _changed(args: argparse.Namespace, content: bytes) -> bytes:
     return verbs.scrub(content, kept, "all" if args.drop_all_gps else args.gps_radius)
 
 
+def analyze(args: argparse.Namespace) -> dict:
+    """Sessions, structure and findings of one file. This verb alone starts Spark."""
+    from pyspark.sql import SparkSession
+
+    from .plans import activity, checks, structure
+
+    spark = SparkSession.builder.appName("fitlake").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    messages = read_messages(spark, str(Path(args.file).resolve()), args.mode).cache()
+    held = lambda df, *order: [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+    return canonical.json_safe({
+        "sessions": held(activity.report(messages, args.ftp, args.max_hr, args.rest_hr, args.female), "part", "session"),
+        "structure": held(structure.structure(messages), "part", "session", "index"),
+        "findings": held(checks.findings(messages), "part", "session", "code"),
+    })
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.verb == "codes":
+        print(canonical.dumps(codes.rows()))
+        return OK
     try:
         content = Path(args.file).read_bytes()
     except OSError as error:
@@ -116,7 +143,10 @@ def main(argv: list[str] | None = None) -> int:
         return USAGE
     try:
         if args.verb == "parse":
-            print(canonical.dumps(document(content, args.strip_pii)))
+            print(canonical.dumps(document(content, args.strip_pii, args.mode)))
+        elif args.verb == "analyze":
+            if parse(content, args.mode).messages:
+                print(canonical.dumps(analyze(args)))
         elif args.verb == "inspect":
             for m in parse(content).messages[: args.limit]:
                 print(f"{m['byte_offset']:>8} {m['global_num']:>5} {m['name']:<20} {len(m['wire']['payload'])} bytes")
@@ -131,6 +161,9 @@ def main(argv: list[str] | None = None) -> int:
     except verbs.VerbError as failure:
         print(f"error: {failure}", file=sys.stderr)
         return NOT_FIT if failure.code == "NOT_FIT_FORMAT" else UNUSABLE
+    except StrictError as refusal:
+        print(f"error: {refusal}", file=sys.stderr)
+        return NOT_FIT if refusal.code == "NOT_FIT_FORMAT" else UNUSABLE
     except ValueError as error:
         print(f"error: {error}", file=sys.stderr)
         return USAGE

@@ -30,9 +30,10 @@ TOLERANCES = {
     "avg_speed": (0.2, 0.03),
     "max_speed": (0.2, 0.03),
 }
-#: Seconds that a step counts for at most, speed from which an athlete moves, windows of a curve.
+#: Seconds that a step counts for at most, speed from which an athlete moves, shortest gap, windows of a curve.
 STEP_CAP_S = 30
 MOVING_MPS = 0.1
+LEAST_GAP_S = 10
 CURVE_S = (5, 60, 300, 1200)
 #: Factors of training impulse by sex, least share of time with heart rate for a load.
 TRIMP_SCALE, TRIMP_EXPONENT, TRIMP_EXPONENT_FEMALE = 0.64, 1.92, 1.67
@@ -48,10 +49,10 @@ def _micros(name: str) -> Column:
 
 
 def records(messages: DataFrame) -> DataFrame:
-    """Wide records: file_id, part, i (place in the file), t (microseconds, null if unknown), one column a stream."""
+    """Wide records: file_id, part, i (place in the file), byte_offset, t (microseconds, null if unknown), one column a stream."""
     rows = messages.where("global_num = 20")
     return rows.select(
-        *PART, F.col("msg_seq").alias("i"), _micros("timestamp").alias("t"),
+        *PART, F.col("msg_seq").alias("i"), "byte_offset", _micros("timestamp").alias("t"),
         *(F.coalesce(_number(f"enhanced_{s}"), _number(s)).alias(s) for s in STREAMS),
     )
 
@@ -121,14 +122,21 @@ def swolf(found: DataFrame) -> DataFrame:
     return found.where("active").groupBy(*OWN).agg(F.avg(score).alias("swolf")).where("swolf IS NOT NULL")
 
 
+def _control(messages: DataFrame) -> DataFrame:
+    """Starts and stops of the timer: i, t, event_type, timer (start or stop), auto."""
+    kinds = {"start": "start", "stop": "stop", "stop_all": "stop", "stop_disable_all": "stop"}
+    event_type = F.get_json_object("fields", "$.event_type")
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[event_type]
+    rows = messages.where("global_num = 21").where(F.get_json_object("fields", "$.event").eqNullSafe("timer"))
+    auto = F.get_json_object("fields", "$.timer_trigger").eqNullSafe("auto")
+    rows = rows.select(*PART, F.col("msg_seq").alias("i"), _micros("timestamp").alias("t"), event_type.alias("event_type"), kind.alias("timer"), auto.alias("auto"))
+    return rows.where("t IS NOT NULL AND timer IS NOT NULL")
+
+
 def timers(owned: DataFrame, messages: DataFrame) -> DataFrame:
     """(keys, a, b) while the timer of a session ran; without events, from its first record to its last."""
-    kinds = {"start": "start", "stop": "stop", "stop_all": "stop", "stop_disable_all": "stop"}
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.get_json_object("fields", "$.event_type")]
-    control = messages.where("global_num = 21").where(F.get_json_object("fields", "$.event").eqNullSafe("timer"))
-    control = control.select(*PART, F.col("msg_seq").alias("i"), _micros("timestamp").alias("t"), kind.alias("timer")).where("t IS NOT NULL AND timer IS NOT NULL")
     timed = owned.where("t IS NOT NULL").select(*OWN, "i", "t", F.lit(None).cast("string").alias("timer"))
-    both = timed.unionByName(_placed(control, messages).select(*OWN, "i", "t", "timer"))
+    both = timed.unionByName(_placed(_control(messages), messages).select(*OWN, "i", "t", "timer"))
     return series.timer_intervals(both, OWN, ORDER, F.col("timer").eqNullSafe("start"), F.col("timer").eqNullSafe("stop"))
 
 
@@ -197,15 +205,33 @@ def discrepancies(declared: DataFrame, derived: DataFrame) -> DataFrame:
     return matching.reconcile(flat, derived.select(*OWN, *fields), OWN, fields)
 
 
-def gaps(owned: DataFrame, messages: DataFrame) -> DataFrame:
-    """Gaps of 10 s and more between records: manual_stop if a stop event lies in one, smart_recording to 30 s, else unknown."""
-    stops = messages.where("global_num = 21").where(
-        F.get_json_object("fields", "$.event").eqNullSafe("timer") & F.get_json_object("fields", "$.event_type").isin("stop", "stop_all")
-    ).select(*PART, _micros("timestamp").alias("stop_t"))
-    found = series.classify_gaps(owned.where("t IS NOT NULL"), OWN, ORDER, F.lit(False), 10, STEP_CAP_S)
+def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Gaps of 10 s and more between records, each with the first kind that fits: corruption (bytes were skipped between
+    the two), manual_stop or auto_pause (the first stop that lies in it), post_timer (after the timer's last stop),
+    smart_recording (to 30 s), unknown. ``files`` has the skipped bytes (``read_files``); without it none is corrupt."""
+    w = series.over(OWN, ORDER)
+    ends = {"end_t": F.lead("t").over(w), "end_offset": F.lead("byte_offset").over(w)}
+    found = owned.where("t IS NOT NULL").withColumns(ends).withColumn("gap_us", F.col("end_t") - F.col("t"))
+    found = found.where(F.col("gap_us") >= LEAST_GAP_S * series.MICROS).select(*OWN, "i", "t", "end_t", "byte_offset", "end_offset", "gap_us")
+    control = _control(messages)
+    stops = control.where("event_type IN ('stop', 'stop_all')").select(*PART, F.col("i").alias("stop_i"), F.col("t").alias("stop_t"), "auto")
     on = [found[k] == stops[k] for k in PART] + [stops["stop_t"].between(found["t"], found["end_t"])]
-    stopped = found.join(stops, on, "left_semi").withColumn("kind", F.lit("manual_stop"))
-    return found.join(stopped.select(*OWN, "t", "end_t"), [*OWN, "t", "end_t"], "left_anti").unionByName(stopped)
+    first = found.join(stops, on).groupBy(*(found[k] for k in [*OWN, "i"])).agg(F.min_by("auto", "stop_i").alias("auto"))
+    last = _placed(control.withColumnRenamed("timer", "state"), messages).groupBy(*OWN).agg(F.max_by(F.struct("state", F.col("t").alias("at")), F.struct("t", "i")).alias("last"))
+    found = found.join(first, [*OWN, "i"], "left").join(last, OWN, "left")
+    corrupt = F.lit(False)
+    if files is not None:
+        found = found.join(files.select("file_id", "skipped"), "file_id", "left")
+        corrupt = F.exists(F.coalesce("skipped", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda x: (F.col("byte_offset") < x["a"]) & (F.col("end_offset") > x["b"]))
+    kind = (
+        F.when(corrupt, "corruption")
+        .when(F.col("auto"), "auto_pause")
+        .when(~F.col("auto"), "manual_stop")
+        .when((F.col("last.state") == "stop") & (F.col("t") >= F.col("last.at")), "post_timer")
+        .when(F.col("gap_us") <= STEP_CAP_S * series.MICROS, "smart_recording")
+        .otherwise("unknown")
+    )
+    return found.select(*OWN, "t", "end_t", "gap_us", kind.alias("kind"))
 
 
 def effort(owned: DataFrame, max_hr: float | None = None, rest_hr: float | None = None, female: bool = False) -> DataFrame:
