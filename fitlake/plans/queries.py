@@ -197,6 +197,11 @@ def timer_intervals(spark, sf_dir):
 _SESS = f"(SELECT user_id, row_number() OVER ({_W}) - 1 AS session, t AS a, t + 86400000000 AS b FROM {_E} WHERE event_type = 'signup')"
 
 
+#: Records with the first session that holds them.
+_OWNED = f"""(SELECT * FROM (SELECT e.*, session, row_number() OVER (PARTITION BY event_id ORDER BY session) AS rn
+  FROM {_E} e JOIN {_SESS} s ON s.user_id = e.user_id AND e.t BETWEEN s.a AND s.b) WHERE rn = 1)"""
+
+
 def _sessions(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -230,6 +235,25 @@ def interval_totals(spark, sf_dir):
     )
 
 
+@query(f"""SELECT user_id, event_id, session::INT AS session, distance::BIGINT AS distance FROM (
+  SELECT e.user_id, event_id, session, abs(e.t - a) AS distance, row_number() OVER (PARTITION BY event_id ORDER BY abs(e.t - a), session) AS rn
+  FROM {_E} e JOIN {_SESS} s USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM {_SESS} x WHERE x.user_id = e.user_id AND e.t BETWEEN x.a AND x.b)) WHERE rn = 1""")
+def session_assign_nearest(spark, sf_dir):
+    s = _sessions(spark, sf_dir)
+    owned = matching.assign_sessions(records(spark, sf_dir), s, KEY, "event_id").where("NOT inside")
+    rows = owned.join(records(spark, sf_dir).select(*KEY, "event_id", "t"), [*KEY, "event_id"]).join(s, [*KEY, "session"])
+    return rows.select("user_id", "event_id", "session", F.abs(F.col("t") - F.col("a")).alias("distance"))
+
+
+@query(f"""SELECT e.user_id, count(*) AS n_outside FROM {_E} e JOIN (SELECT user_id FROM {_SESS} GROUP BY user_id HAVING count(*) > 1) m USING (user_id)
+WHERE NOT EXISTS (SELECT 1 FROM {_SESS} s WHERE s.user_id = e.user_id AND e.t BETWEEN s.a AND s.b) GROUP BY e.user_id""")
+def records_outside(spark, sf_dir):
+    s = _sessions(spark, sf_dir)
+    several = s.groupBy(*KEY).count().where("count > 1").select(*KEY)
+    owned = matching.assign_sessions(records(spark, sf_dir), s, KEY, "event_id").where("NOT inside")
+    return owned.join(several, KEY, "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_outside"))
+
+
 _DERIVED = """(SELECT l_orderkey AS k, sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)) * (1 + l_tax::DECIMAL(4,2)))::DOUBLE AS total, sum(l_quantity) AS qty, count(*) AS n
 FROM lineitem GROUP BY l_orderkey)"""
 
@@ -306,6 +330,41 @@ def spike_gate(spark, sf_dir):
     return series.spikes(records(spark, sf_dir), KEY, ORDER, "value", 0.01).select("event_id", "spike")
 
 
+@query("""SELECT event_id, nullif(event_id % 50, 0) AS lat, CASE WHEN event_id % 50 = 0 AND event_id % 100 = 0 THEN NULL ELSE event_id % 100 END AS lon,
+  event_id % 50 = 0 AND event_id % 100 = 0 AS null_island FROM events WHERE event_id % 50 <> 0 OR event_id % 100 = 0""")
+def null_island(spark, sf_dir):
+    rows = records(spark, sf_dir).withColumns({"lat": F.col("event_id") % 50, "lon": F.col("event_id") % 100}).where("lat <> 0 OR lon = 0")
+    bad = (F.col("lat") == 0) & (F.col("lon") == 0)
+    return rows.select("event_id", F.when(~bad, F.col("lat")).alias("lat"), F.when(~bad, F.col("lon")).alias("lon"), bad.alias("null_island"))
+
+
+@query(f"""SELECT user_id, max(n) AS longest FROM (
+  SELECT user_id, grp, count(*) AS n FROM (
+    SELECT user_id, still, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER ({_W}) AS grp FROM (
+      SELECT *, coalesce(floor(value / 100) = lag(floor(value / 100)) OVER ({_W}) AND value > 20, false) AS still FROM {_E}))
+  WHERE still GROUP BY user_id, grp) GROUP BY user_id""")
+def frozen_distance(spark, sf_dir):
+    distance = F.floor(F.col("value") / 100)
+    rows = records(spark, sf_dir).withColumn("still", F.coalesce((distance == F.lag(distance).over(series.over(KEY, ORDER))) & (F.col("value") > 20), F.lit(False)))
+    return series.longest_run(rows, KEY, ORDER, F.when(F.col("still"), F.lit(1)))
+
+
+@query(f"""SELECT user_id, session::INT AS session, zone::INT AS zone, coalesce(s, 0)::BIGINT AS spent_us FROM (
+  SELECT DISTINCT user_id, session FROM {_OWNED}) k CROSS JOIN (SELECT unnest([0, 1, 2]) AS zone)
+LEFT JOIN (SELECT user_id, session, (value > 100)::INT + (value > 300)::INT AS zone, sum(least(dt, 600000000)) AS s
+  FROM (SELECT *, lead(t) OVER (PARTITION BY user_id, session ORDER BY t, event_id) - t AS dt FROM {_OWNED}) WHERE dt > 0 GROUP BY 1, 2, 3) USING (user_id, session, zone)""")
+def session_zones(spark, sf_dir):
+    s = _sessions(spark, sf_dir)
+    owned = matching.assign_sessions(records(spark, sf_dir), s, KEY, "event_id").where("inside").select("event_id", "session")
+    rows = records(spark, sf_dir).join(owned, "event_id")
+    keys = [*KEY, "session"]
+    steps = series.pairwise_dt(rows, keys, ORDER).where("dt > 0")
+    zone = (F.col("value") > 100).cast("int") + (F.col("value") > 300).cast("int")
+    spent = steps.groupBy(*keys, zone.alias("zone")).agg(F.sum(F.least("dt", F.lit(600 * series.MICROS))).alias("spent_us"))
+    spine = rows.select(*keys).distinct().withColumn("zone", F.explode(F.array(*map(F.lit, range(3)))))
+    return spine.join(spent, [*keys, "zone"], "left").select(*keys, "zone", F.coalesce("spent_us", F.lit(0)).alias("spent_us"))
+
+
 @query(f"""SELECT event_id, (sum(back) OVER ({_W}))::BIGINT * 256 + c AS total FROM (
   SELECT *, CASE WHEN c < lag(c) OVER ({_W}) THEN 1 ELSE 0 END AS back FROM (SELECT *, event_id % 256 AS c FROM {_E}))""")
 def accumulator_unwrap(spark, sf_dir):
@@ -397,6 +456,17 @@ def load_ladder(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("l", F.coalesce(first, then)).select("o_orderkey", "l.basis", "l.score")
 
 
+@query("""SELECT c_custkey, CASE WHEN metres > 0 THEN round(coalesce(nullif(moving, 0), nullif(timer, 0), nullif(elapsed, 0)) / metres * 1000, 6) END AS pace,
+  CASE WHEN metres > 0 THEN CASE WHEN nullif(moving, 0) IS NOT NULL THEN 'moving' WHEN nullif(timer, 0) IS NOT NULL THEN 'timer' WHEN nullif(elapsed, 0) IS NOT NULL THEN 'elapsed' END END AS basis
+FROM (SELECT c_custkey, c_acctbal AS metres, (c_custkey % 3)::DOUBLE AS moving, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 5)::DOUBLE END AS timer, (c_custkey % 7)::DOUBLE AS elapsed FROM customer)""")
+def pace_ladder(spark, sf_dir):
+    k, metres = F.col("c_custkey"), F.col("c_acctbal")
+    times = {"moving": (k % 3).cast("double"), "timer": F.when(k % 2 == 0, (k % 5).cast("double")), "elapsed": (k % 7).cast("double")}
+    rungs = [F.when(seconds != 0, F.struct(seconds.alias("seconds"), F.lit(name).alias("basis"))) for name, seconds in times.items()]
+    rows = table(spark, sf_dir, "customer").withColumn("rung", F.when(metres > 0, F.coalesce(*rungs)))
+    return rows.select("c_custkey", F.round(F.col("rung.seconds") / F.when(metres > 0, metres) * 1000, 6).alias("pace"), F.col("rung.basis").alias("basis"))
+
+
 @query("""SELECT p_partkey, p_retailprice / 100 AS speed, 1000 / (p_retailprice / 100) AS pace,
   (floor(1000 / (p_retailprice / 100) + 0.5)::BIGINT // 60) || ':' || lpad((floor(1000 / (p_retailprice / 100) + 0.5)::BIGINT % 60)::VARCHAR, 2, '0') AS text
 FROM part WHERE p_retailprice > 0""")
@@ -475,6 +545,18 @@ _CHECKS = {"NO_LINES": "n = 0", "HIGH_TOTAL": "o_totalprice > 200000", "NOT_FINA
 _REMEDY = {"NO_LINES": (1, "repair"), "NOT_FINAL": (2, "edit")}
 
 
+@query("""SELECT code, count(*) AS n, min(o_orderkey) AS first_key FROM (
+  SELECT o_orderkey, unnest([CASE WHEN n = 0 THEN 'NO_LINES' END, CASE WHEN o_totalprice > 200000 THEN 'HIGH_TOTAL' END, CASE WHEN o_orderstatus <> 'F' THEN 'NOT_FINAL' END]) AS code
+  FROM (SELECT o.*, coalesce(d.n, 0) AS n FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) d ON l_orderkey = o_orderkey))
+WHERE code IS NOT NULL GROUP BY code""")
+def validate_flags(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders").join(counts, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    flags = F.array_compact(F.array(*[F.when(F.expr(test), code) for code, test in _CHECKS.items()]))
+    found = o.select("o_orderkey", F.explode(flags).alias("code"))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
 @query("""WITH o AS (SELECT o.*, coalesce(d.n, 0) AS n FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) d ON l_orderkey = o_orderkey),
 f AS (SELECT o_orderkey, 'NO_LINES' AS code FROM o WHERE n = 0 UNION ALL SELECT o_orderkey, 'HIGH_TOTAL' FROM o WHERE o_totalprice > 200000
       UNION ALL SELECT o_orderkey, 'NOT_FINAL' FROM o WHERE o_orderstatus <> 'F')
