@@ -177,6 +177,86 @@ def time_in_zones(owned: DataFrame, messages: DataFrame, stream: str, settings:
     return spine.join(spent, [*OWN, "zone"], "left").select(*OWN, "zone", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), "basis")
 
 
+def stream_name(label: Column) -> Column:
+    """A name for a stream out of any label: lower case, other characters than letters and digits as one underscore."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def long_streams(messages: DataFrame) -> DataFrame:
+    """(keys, i, t, stream, value) of every number that records hold, those of developers too, by cleaned names.
+
+    Enhanced fields take the place of their plain ones where both are there."""
+    rows = messages.where("global_num = 20").select(
+        *PART, F.col("msg_seq").alias("i"), _micros("timestamp").alias("t"), F.explode(F.from_json("fields", "map<string,string>")).alias("label", "text")
+    )
+    value = F.expr("try_cast(text AS double)")
+    rows = rows.select(*PART, "i", "t", stream_name(F.col("label")).alias("label"), value.alias("value")).where("value IS NOT NULL AND label <> 'timestamp'")
+    plain = F.regexp_replace("label", "^enhanced_", "")
+    first = F.min_by("value", F.struct(~F.col("label").startswith("enhanced_"), "label"))
+    return rows.groupBy(*PART, "i", "t", plain.alias("stream")).agg(first.alias("value"))
+
+
+def stream_totals(streams: DataFrame, owned: DataFrame) -> DataFrame:
+    """Per session and stream: n, avg, max; positions, distance and the kind of activity have no mean."""
+    named = streams.where(~F.col("stream").isin("position_lat", "position_long", "distance", "activity_type"))
+    both = named.join(owned.select(*OWN, "i"), [*PART, "i"])
+    return both.groupBy(*OWN, "stream").agg(F.count("value").alias("n"), F.avg("value").alias("avg"), F.max("value").alias("max"))
+
+
+def hrv(messages: DataFrame) -> DataFrame:
+    """Per part: beat-to-beat intervals in seconds, of all messages that hold some, in order."""
+    held = F.from_json(F.coalesce(F.get_json_object("fields", "$.time"), F.lit("[]")), "array<double>")
+    one = F.array(_number("time"))
+    rows = messages.where("global_num = 78").select(*PART, "msg_seq", F.coalesce(held, one).alias("times"))
+    ordered = F.sort_array(F.collect_list(F.struct("msg_seq", "times")))
+    flat = F.filter(F.flatten(F.transform(ordered, lambda x: x["times"])), lambda x: x.isNotNull())
+    return rows.groupBy(*PART).agg(flat.alias("intervals_s"))
+
+
+def owners(messages: DataFrame) -> DataFrame:
+    """Per part: what the first file_id and the first user_profile say of device and athlete (null: nothing)."""
+    first = lambda number, *names: [
+        F.min_by(F.get_json_object("fields", f"$.{n}"), F.when(F.col("global_num") == number, F.col("msg_seq"))).alias(n) for n in names
+    ]
+    device = first(0, "manufacturer", "product", "product_name", "serial_number")
+    athlete = first(3, "friendly_name", "gender", "age", "weight", "height")
+    return messages.where("global_num IN (0, 3)").groupBy(*PART).agg(*device, *athlete)
+
+
+def distance_splits(owned: DataFrame, length: float = 1000.0, pace_m: float = 1000.0) -> DataFrame:
+    """One row per split of ``length`` metres: split (from 1), distance_m, duration_s, pace_s (of ``pace_m``), avg_heart_rate,
+    avg_power, ascent_m, descent_m, partial. Its ends are interpolated; a record that reaches an end counts in the next
+    split; a last one of more than half a metre is partial. Climb is that of neighbouring altitudes."""
+    w = series.over(OWN, ORDER)
+    rows = owned.where("distance IS NOT NULL AND t IS NOT NULL")
+    ends = series.splits(rows, OWN, ORDER, "distance", length).groupBy(*OWN, "split").agg(F.min("t").alias("end_t"))
+    rows = rows.withColumns({"origin": F.first("distance").over(w), "far": F.max("distance").over(w.rowsBetween(series.Window.unboundedPreceding, 0))})
+    rows = rows.withColumn("split", (F.floor((F.col("far") - F.col("origin")) / length) + 1).cast("long"))
+    high = rows.where("altitude IS NOT NULL").withColumn("step", F.col("altitude") - F.lag("altitude").over(w))
+    climbed = high.groupBy(*OWN, "split").agg(
+        F.coalesce(F.sum(F.greatest("step", F.lit(0.0)).cast("double")), F.lit(0.0)).alias("ascent_m"),
+        F.coalesce(F.sum(F.when(F.col("step") < 0, -F.col("step"))), F.lit(0.0)).alias("descent_m"),
+    )
+    held = rows.groupBy(*OWN, "split").agg(
+        F.avg("heart_rate").alias("avg_heart_rate"), F.avg("power").alias("avg_power"),
+        F.max_by("distance", F.struct("t", "i")).alias("last_m"), F.max("t").alias("last_t"), F.first("origin").alias("origin"),
+    )
+    spans = rows.groupBy(*OWN).agg(F.min("t").alias("start_t"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    whole = ends.withColumn("partial", F.lit(False))
+    rest = held.join(ends.select(*OWN, "split"), [*OWN, "split"], "left_anti").withColumn("rest_m", F.col("last_m") - F.col("origin") - (F.col("split") - 1) * length)
+    rest = rest.where("rest_m > 0.5").select(*OWN, "split", F.col("last_t").alias("end_t"), F.lit(True).alias("partial"), "rest_m")
+    every = whole.withColumn("rest_m", F.lit(None).cast("double")).unionByName(rest).join(spans, OWN)
+    begin = F.coalesce(F.lag("end_t").over(series.over(OWN, ["split"])), "start_t")
+    every = every.withColumn("duration_s", (F.col("end_t") - begin) / series.MICROS).withColumn("distance_m", F.coalesce("rest_m", F.lit(float(length))))
+    every = every.withColumn("pace_s", F.when(F.col("duration_s") > 0, F.col("duration_s") / F.col("distance_m") * pace_m))
+    facts = held.select(*OWN, "split", "avg_heart_rate", "avg_power")
+    return (
+        every.join(facts, [*OWN, "split"], "left")
+        .join(climbed, [*OWN, "split"], "left")
+        .select(*OWN, "split", "distance_m", "duration_s", "pace_s", "avg_heart_rate", "avg_power", "ascent_m", "descent_m", "partial")
+    )
+
+
 def derived_totals(owned: DataFrame) -> DataFrame:
     """Per session, of its records alone: elapsed time, distance (last less first), moving time, means, maxima, climb."""
     present = F.col("distance").isNotNull()
