@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .groups import binaries, map_groups
@@ -44,10 +45,21 @@ def hyperplanes(dim: int, signs: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, signs, tables]).standard_normal((dim, tables * signs))
 
 
-def table_codes(vectors: np.ndarray, signs: int, tables: int) -> np.ndarray:
+def sign_bits(vectors: np.ndarray, signs: int, tables: int) -> np.ndarray:
+    """Whether each product is positive, one row a vector, table after table."""
+    return vectors @ hyperplanes(vectors.shape[1], signs, tables) > 0
+
+
+def codes_of(bits: np.ndarray, signs: int) -> np.ndarray:
     """int32 codes, one row a vector and one column a table."""
-    bits = (vectors @ hyperplanes(vectors.shape[1], signs, tables) > 0).reshape(len(vectors), tables, signs)
-    return (bits * (1 << np.arange(signs))).sum(axis=2).astype(np.int32)
+    return (bits.reshape(len(bits), bits.shape[1] // signs, signs) * (1 << np.arange(signs))).sum(axis=2).astype(np.int32)
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double precision."""
+    vectors = vectors.astype("<f8")
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
 def star_edges(mask: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +77,8 @@ def star_edges(mask: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple
     return nodes[moved], roots[moved]
 
 
-def _vectors(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(binaries(table["vector"])), "<f8").reshape(table.num_rows, -1)
+def _matrix(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(binaries(column)), dtype).reshape(len(column), -1)
 
 
 def near_embeddings(
@@ -80,6 +92,8 @@ def near_embeddings(
     id but not the vector are one node: their links add up. An empty table gives an empty result.
     """
     v = F.col(vector_col).cast("array<double>")
+    # Components of single precision are sent as they are; bits of the tables before a bucket's own tell who met there.
+    dtype = "<f4" if embeddings.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "<f8"
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     sound = F.coalesce(
         (F.size("v") > 0)
@@ -105,27 +119,25 @@ def near_embeddings(
             for dim in np.unique(lengths):
                 batch = whole.filter(pa.array(lengths == dim))
                 vectors = np.ascontiguousarray(batch["v"].flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, dim)
-                scale = np.abs(vectors).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-                unit = vectors / scale
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                codes = table_codes(unit, signs, tables)
+                bits = sign_bits(unit_rows(vectors), signs, tables)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"],
                         batch["weight"],
-                        pa.array([int(dim)] * len(unit), pa.int32()),
-                        pa.array([x.tobytes() for x in unit], pa.binary()),
-                        pa.array([x.tobytes() for x in codes], pa.binary()),
-                        pa.array(codes.tolist(), pa.list_(pa.int32())),
+                        pa.array([int(dim)] * len(vectors), pa.int32()),
+                        pa.array([x.tobytes() for x in vectors.astype(dtype)], pa.binary()),
+                        pa.array([x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")], pa.binary()),
+                        pa.array(codes_of(bits, signs).tolist(), pa.list_(pa.int32())),
                     ],
-                    names=["id", "weight", "dim", "vector", "codes", "code"],
+                    names=["id", "weight", "dim", "vector", "bits", "code"],
                 )
 
     coded = classes.select("id", "weight", "v").mapInArrow(
-        hashed, "id long, weight long, dim int, vector binary, codes binary, code array<int>"
+        hashed, "id long, weight long, dim int, vector binary, bits binary, code array<int>"
     )
     coded = materialize(coded, "codes")
-    in_tables = coded.select("id", "weight", "dim", "vector", "codes", F.posexplode("code").alias("t", "bucket"))
+    in_tables = coded.select("id", "weight", "dim", "vector", "bits", F.posexplode("code").alias("t", "bucket"))
+    in_tables = in_tables.withColumn("bits", F.substring("bits", F.lit(1), F.ceil(F.col("t") * signs / 8).cast("int")))
     # How many chunks a bucket needs; only ids and counts are looked at for it.
     full = (
         coded.select("dim", F.posexplode("code").alias("t", "bucket"))
@@ -140,7 +152,7 @@ def near_embeddings(
     met = met.select(
         F.xxhash64("dim", "t", "bucket", low, high).alias("group"),
         "dim", "t", "bucket", low.alias("low"), high.alias("high"),
-        "chunk", "id", "weight", "vector", "codes",
+        "chunk", "id", "weight", "vector", "bits",
     )
 
     def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -154,13 +166,15 @@ def near_embeddings(
 
     def bucket(part: pa.Table, t: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
         ids, weights = part["id"].to_numpy(), part["weight"].to_numpy()
-        vectors, chunk = _vectors(part), part["chunk"].to_numpy()
-        codes = np.frombuffer(b"".join(binaries(part["codes"])), np.int32).reshape(len(ids), -1)
+        vectors, chunk = unit_rows(_matrix(part["vector"], dtype)), part["chunk"].to_numpy()
         a = np.flatnonzero(chunk == low)
         b = a if low == high else np.flatnonzero(chunk == high)
         mask = vectors[a] @ vectors[b].T >= min_cosine
         if low == high:
             np.fill_diagonal(mask, False)
+        if t and mask.any():
+            bits = np.unpackbits(_matrix(part["bits"], "u1"), axis=1, bitorder="little")[:, : t * signs]
+            codes = codes_of(bits, signs)
         for earlier in range(t):
             if not mask.any():
                 return

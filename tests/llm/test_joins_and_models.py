@@ -97,6 +97,9 @@ def test_embeddings(spark):
     for i in range(215, 221):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
     assert (out[None].n_links, out[None].component_id) == (0, None)
+    single = df.where("vec_id < 215").selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding")
+    for r in embedding_dedup.near_embeddings(single).collect():  # no pair lies within a float's error of the threshold
+        assert (r.n_links, r.component_id) == (near[r.vec_id].sum(), expected[r.vec_id])
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
