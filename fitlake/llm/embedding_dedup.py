@@ -138,15 +138,18 @@ def near_embeddings(
     coded = materialize(coded, "codes")
     in_tables = coded.select("id", "weight", "dim", "vector", "bits", F.posexplode("code").alias("t", "bucket"))
     in_tables = in_tables.withColumn("bits", F.substring("bits", F.lit(1), F.ceil(F.col("t") * signs / 8).cast("int")))
-    # How many chunks a bucket needs; only ids and counts are looked at for it.
-    full = (
+    # The buckets that need several chunks; they are few, and written first, so that the join knows their
+    # size and moves no vectors to learn that most buckets aren't among them.
+    large = (
         coded.select("dim", F.posexplode("code").alias("t", "bucket"))
         .groupBy("dim", "t", "bucket")
         .count()
-        .where("count > 1")
+        .where(F.col("count") > CHUNK_VECTORS)
         .select("dim", "t", "bucket", F.ceil(F.col("count") / CHUNK_VECTORS).cast("int").alias("chunks"))
     )
-    met = in_tables.join(full, ["dim", "t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    met = in_tables.join(materialize(large, "large-buckets"), ["dim", "t", "bucket"], "left")
+    met = met.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    met = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     met = met.select(
