@@ -94,6 +94,8 @@ _HINTS = (
 _KNOWN = [(name, re.compile(pattern, re.DOTALL)) for name, pattern in SENTENCES]
 _OPEN_ENDED = {name for name, pattern in SENTENCES if pattern.endswith(".*")}
 _END = re.compile(r"(?<=[.!?;])[\"')\]]*(?:\s+|\Z)")
+#: A copyright statement has no stop: it starts with its line and ends with the line of its year.
+_COPYRIGHT_LINE = re.compile(r"^[^\w\n]*(?:(?:dnl|rem)\b[^\w\n]*)?copyright\W{1,20}(?:c\W{1,20})?[0-9]{4}[^\r\n]*", re.IGNORECASE | re.MULTILINE)
 _NOISE = re.compile(r"[\"“”‘’`]|(?<!\S)(?:[#*/|]+|//+|--|<!--|-->|dnl|rem)(?!\S)")
 _SPACE = re.compile(r"\s+")
 #: Characters of a sentence beyond the last hint that are still looked at; no known sentence is longer.
@@ -146,8 +148,9 @@ def sentence_ids(text: str) -> list[tuple[str, dict[str, str]]]:
     """The identifiers of the known sentences of a text, in order."""
     if not _hinted(text):
         return []
+    ends = {m.end() for m in _END.finditer(text)} | {x for m in _COPYRIGHT_LINE.finditer(text) for x in m.span()}
     found, start = [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    for end in sorted(ends | {len(text)}):
         sentence = text[start:end].strip("\n")
         start = end
         if sentence and _hinted(sentence):

@@ -126,6 +126,44 @@ def test_licenses(spark, edge_docs, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+#: A text of each licence, as it stands below a copyright line.
+BELOW_COPYRIGHT = [
+    ("MIT", MIT), ("MIT", "Released under the MIT License."), ("ISC", ISC), ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", "Licensed under the 3-clause BSD license."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General\nPublic License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1-only", "This library is distributed under the terms of the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License v3 or later."),
+    ("CC0-1.0", "Released under CC0 1.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("mit", "SPDX-License-Identifier: MIT"),
+]
+
+
+@pytest.mark.parametrize("name, text", BELOW_COPYRIGHT)
+@pytest.mark.parametrize("line", ["Copyright (c) 2021 Jane Doe\n", "Copyright 2019-2021 Acme\n\n", "prose above\n * COPYRIGHT (C)\n * 2020 Acme, Inc\r\n", "© 1999 x\nCopyright © 2020 A\nCopyright © 2021 B\n"])
+def test_licenses_below_a_copyright_line(name, text, line):
+    licences, left = license_scan.match_rules(license_scan.sentence_ids(line + text))
+    assert licences == [name] and set(left) == {"copyright"} and len(left) == line.lower().count("copyright")
+
+
+def test_copyright_within_sentences():
+    ids = lambda text: [name for name, _ in license_scan.sentence_ids(text)]
+    assert ids(ISC.replace("above copyright", "above\ncopyright")) == ["isc_permission"]
+    assert ids("Copyright (c) 2021 Jane Doe. All rights reserved.\nReleased under the MIT License.") == ["copyright", "all_rights", "mit_named"]
+    assert ids("Released under the MIT License\n# Copyright 2020 Acme") == ["mit_named", "copyright"]
+
+
 def test_licenses_of_the_corpus(spark):
     """Every planted licence line is found, and nothing else."""
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
