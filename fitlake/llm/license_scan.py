@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 #: Known sentences: identifier and pattern of the normalised sentence without the stop at its end.
 SENTENCES = [
     ("mit_named", r"(?:this (?:work|project|software|code|file) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit license"),
-    ("mit_permission", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the software\), to deal in the software without restriction,.*"),
+    ("mit_permission", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the software\), to deal in the software without restriction,(?:(?!the following conditions|:).)*(?:the following conditions)?:?"),
     ("mit_condition", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit_as_is", r"the software is provided as is, without warranty of any kind, express or implied,.*"),
     ("mit_liability", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability,.*"),
@@ -92,8 +92,11 @@ _HINTS = (
     "reserved", "cc0", "released", "software",
 )
 _KNOWN = [(name, re.compile(pattern, re.DOTALL)) for name, pattern in SENTENCES]
-_OPEN_ENDED = {name for name, pattern in SENTENCES if pattern.endswith(".*")}
-_END = re.compile(r"(?<=[.!?;])[\"')\]]*(?:\s+|\Z)")
+_OPEN_ENDED = {name for name, pattern in SENTENCES if pattern.endswith((".*", ".{0,120}"))}
+#: The point of 'v. 2.0' ends no sentence.
+_END = re.compile(r"(?<=[.!?])(?!(?<=\b[vV]\.)\s+[0-9])[\"')\]]*(?:\s+|\Z)")
+#: Within a sentence, a known one may start or end here.
+_PAUSE = re.compile(r"\n|(?P<stop>;)[\"')\]]*(?:\s+|\Z)|:[\"')\]]*(?:\s+|\Z)")
 #: A copyright statement has no stop: it starts with its line and ends with the line of its year.
 _COPYRIGHT_LINE = re.compile(r"^[^\w\n]*(?:(?:dnl|rem)\b[^\w\n]*)?copyright\W{1,20}(?:c\W{1,20})?[0-9]{4}[^\r\n]*", re.IGNORECASE | re.MULTILINE)
 _NOISE = re.compile(r"[\"“”‘’`]|(?<!\S)(?:[#*/|]+|//+|--|<!--|-->|dnl|rem)(?!\S)")
@@ -123,20 +126,28 @@ def identify(sentence: str) -> tuple[str, dict[str, str]] | None:
     return None
 
 
-def _in_lines(sentence: str) -> list[tuple[str, dict[str, str]]]:
-    """The known sentences in one that isn't known as a whole: prose without stops may stand around them."""
-    lines = sentence.split("\n")
+def _known_parts(sentence: str) -> list[tuple[str, dict[str, str]]]:
+    """The known sentences in one: prose without stops may stand around them.
+
+    A known sentence goes from pause to pause, over others if it has them itself; the longest
+    counts. One whose end is open goes to the next semicolon, or else to the end.
+    """
+    pauses = list(_PAUSE.finditer(sentence))
+    starts = [0, *(m.end() for m in pauses)]
+    ends = [*starts[1:], len(sentence)]
+    stops = [*(m["stop"] is not None for m in pauses), True]
     found, i = [], 0
-    while i < len(lines):
-        size, best = 0, None
-        for j in range(i, len(lines)):
-            size += len(lines[j]) + 1
-            if size > LONGEST:
+    while i < len(starts):
+        best = None
+        for j in range(i, len(starts) if sentence[starts[i] : ends[i]].strip() else i):
+            part = sentence[starts[i] : ends[j]]
+            if len(part) > LONGEST:
                 break
-            part = "\n".join(lines[i : j + 1])
-            if lines[i].strip() and _hinted(part) and (known := identify(part)):
-                if known[0] not in _OPEN_ENDED or j + 1 == len(lines):
+            if _hinted(part) and (known := identify(part)):
+                if known[0] not in _OPEN_ENDED:
                     best = (known, j)
+                elif stops[j]:
+                    best = best or (known, j)
         if best:
             found.append(best[0])
             i = best[1]
@@ -154,8 +165,7 @@ def sentence_ids(text: str) -> list[tuple[str, dict[str, str]]]:
         sentence = text[start:end].strip("\n")
         start = end
         if sentence and _hinted(sentence):
-            known = identify(sentence) if len(sentence) <= LONGEST else None
-            found += [known] if known else _in_lines(sentence)
+            found += _known_parts(sentence)
     return found
 
 

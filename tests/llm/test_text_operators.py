@@ -164,6 +164,84 @@ def test_copyright_within_sentences():
     assert ids("Released under the MIT License\n# Copyright 2020 Acme") == ["mit_named", "copyright"]
 
 
+MIT_UNALTERED = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL2_UNALTERED = """    Copyright (C) 2021  Jane Doe
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+MPL2_UNALTERED = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+APACHE2_UNALTERED = """   Copyright 2021 Jane Doe
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_unaltered_licenses():
+    texts = {"MIT": MIT_UNALTERED, "GPL-2.0-or-later": GPL2_UNALTERED, "MPL-2.0": MPL2_UNALTERED, "Apache-2.0": APACHE2_UNALTERED}
+    for name, text in texts.items():
+        for around in ("%s", "prose without a stop\n%s\nand more of it", "Some prose; and\n%s"):
+            for form in (text, "".join(f" * {line}\n" for line in text.splitlines()), text.replace("\n", "\r\n")):
+                licences, left = license_scan.match_rules(license_scan.sentence_ids(around % form))
+                assert licences == [name] and set(left) <= {"copyright"}
+    assert license_scan.match_rules(license_scan.sentence_ids("".join(texts.values())))[0] == list(texts)
+    in_one_line = " ".join(MIT_UNALTERED.split("Doe")[1].split())
+    assert [name for name, _ in license_scan.sentence_ids(in_one_line)] == ["mit_permission", "mit_condition", "mit_as_is", "mit_liability"]
+
+
+def test_licenses_beside_semicolons():
+    ids = lambda text: [name for name, _ in license_scan.sentence_ids(text)]
+    assert ids("Copyright 2020 Acme; Released under the MIT License.") == ["copyright", "mit_named"]
+    assert ids("It is free; licensed under the MIT license; released under CC0 1.0.") == ["mit_named", "cc0_named"]
+    assert ids("The software is provided as is, without warranty of any kind, express or implied, at all; released under the MIT license.") == ["mit_as_is", "mit_named"]
+    assert ids("License: Released under the MIT License.") == ["mit_named"]
+
+
 def test_licenses_of_the_corpus(spark):
     """Every planted licence line is found, and nothing else."""
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
