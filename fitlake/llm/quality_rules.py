@@ -21,8 +21,6 @@ PRIOR_WEIGHT = (1.0, 10_000.0)
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-#: Bits of a packed number that hold a word's position; the others hold a hash.
-POSITION_BITS = 24
 
 
 def _let(value: Column, body) -> Column:
@@ -33,34 +31,20 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column, window: int = 3) -> Column:
     """Words that lie in a window of ``window`` words found twice or more in ``words``.
 
-    The hash of each window is packed with its position and sorted, so that equal windows become
-    neighbours; the full hashes of neighbours are then compared. Linear memory, n log n time.
+    The hash of each window is sorted with its position, so that equal windows become neighbours.
+    Linear memory, n log n time.
     """
-    mask = (1 << POSITION_BITS) - 1
 
     def marked(hashes: Column) -> Column:
-        packed = F.array_sort(
-            F.transform(
-                hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(mask)))
-            )
-        )
-        return _let(packed, lambda order: positions(hashes, order))
-
-    def at(hashes: Column, order: Column, j: Column) -> Column:
-        return F.get(hashes, F.get(order, j).bitwiseAND(F.lit(mask)).cast("int"))
+        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return _let(F.sort_array(pairs), positions)
 
-    def positions(hashes: Column, order: Column) -> Column:
+    def positions(order: Column) -> Column:
         def twice(x: Column, j: Column) -> Column:
-            def near(k: Column) -> Column:
-                other = F.get(order, k)
-                same_bits = F.shiftright(other, POSITION_BITS) == F.shiftright(x, POSITION_BITS)
-                return F.coalesce(F.when(same_bits, at(hashes, order, k) == at(hashes, order, j)), F.lit(False))
+            same = lambda k: F.coalesce(F.get(order, k)["h"] == x["h"], F.lit(False))
+            return same(j - 1) | same(j + 1)
 
-            return near(j - 1) | near(j + 1)
-
-        found = F.array_sort(
-            F.transform(F.filter(order, twice), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))
-        )
+        found = F.sort_array(F.transform(F.filter(order, twice), lambda x: x["i"]))
         return _let(
             found,
             lambda p: F.aggregate(

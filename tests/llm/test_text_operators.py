@@ -110,6 +110,14 @@ def test_quality_rules_edges(spark, edge_docs, no_docs):
     assert {r.doc_id for r in quality_rules.stage(spark, df, "").collect()} == kept
 
 
+def test_repeated_words_beside_a_like_hash(spark):
+    """The hashes of 'w1826410 x y' and 'w2433512 x y' agree in their upper 40 bits."""
+    texts = ["w1826410 x y w2433512 x y w1826410 x y", "w2433512 x y w1826410 x y w2433512 x y", "w1826410 x y w2433512 x y", "a b c d a b c"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r.id: r.n_repeat_words for r in quality_rules.quality_verdicts(df).collect()}
+    assert found == {0: 6, 1: 6, 2: 0, 3: 6}
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including all rights.
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
