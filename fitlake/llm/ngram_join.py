@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -357,12 +357,48 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(docs, words=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def _mark(docs: DataFrame) -> Column:
+    """A hash that tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def _variants(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, mark, node) of the ids that stand at different texts, with a number for each text; None if no id does."""
+    marks = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _mark(docs).alias("mark"))
+    shared = marks.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    several = materialize(shared.where("low < high").select("doc_id"), "shared-ids")
+    if several.isEmpty():
+        return None
+    # Numbers below all ids.
+    least = marks.agg(F.min("doc_id").alias("least"))
+    found = marks.join(several, "doc_id").distinct().join(F.broadcast(least))
+    return materialize(
+        found.select("doc_id", "mark", (F.col("least") - 1 - F.monotonically_increasing_id()).alias("node")), "variants"
+    )
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies, the document of the smallest id stays.
 
-    Five words and a similarity of 0.8. Rows without an id stay.
+    Five words and a similarity of 0.8. Rows without an id stay. Rows of one id and different texts
+    are documents of their own; those of one id and the same text are one.
     """
-    found = link_components(docs)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id IS NULL"))
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        _mark(docs).alias("mark"),
+    )
+    variants = _variants(docs)
+    if variants is None:
+        nodes = rows.withColumn("node", F.col("doc_id"))
+        gone = link_components(nodes, "node").where("id <> component_id").select(F.col("id").alias("node")).distinct()
+    else:
+        nodes = rows.join(variants, ["doc_id", "mark"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+        found = link_components(nodes, "node").where("id IS NOT NULL").select(F.col("id").alias("node"), "component_id")
+        found = materialize(found.distinct(), "components")
+        named = found.join(variants, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
+        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+        gone = found.join(first.select("first.node"), "node", "left_anti").select("node")
+    kept = nodes.join(gone, "node", "left_anti").select("node", "row")
+    return kept.where("node IS NOT NULL").dropDuplicates(["node"]).unionAll(kept.where("node IS NULL")).select("row.*")

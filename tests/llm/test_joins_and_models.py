@@ -67,6 +67,19 @@ def test_ngram_join_edges(spark):
     assert ngram_join.link_components(docs.limit(0)).count() == 0
 
 
+def test_join_stage_decides_by_row(spark):
+    """An id at two texts is two documents: what one of them is a copy of says nothing of the other."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(7, a), (7, b), (3, b), (7, a), (8, c), (8, c + " more"), (9, c), (5, None), (5, " "), (None, b), (1, "alone")]
+    docs = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, node int")
+    out = ngram_join.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    both = [(8, c), (8, c + " more")]
+    assert [x for x in kept if x not in both] == sorted([(7, a), (3, b), (5, None), (5, " "), (None, b), (1, "alone")], key=str)
+    assert sum(x in both for x in kept) == 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(200).selectExpr("(id * 37) % 200 + 1000 AS a", "((id + 1) * 37) % 200 + 1000 AS b").where("a > 1000 OR b > 1000")
     assert {r.component for r in connected_components(edges).collect()} == {1000}
