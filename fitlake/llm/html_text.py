@@ -65,6 +65,10 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
+#: Blocks that have no points themselves; the first are kept before a text only.
+_LEADING, _UNSCORED = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"pre", "table"}
+#: Characters from which a sibling counts as a paragraph of the text.
+SHORT_BLOCK = 80
 _NO_PARAGRAPH = BLOCK - {"body", "html", "head", "option", "optgroup"}
 
 
@@ -173,6 +177,40 @@ def _points(size: int, commas: int) -> float:
     return min(size / 25, 1.0) + commas + min(size / 100, 3.0)
 
 
+def _keep_short_siblings(page: _Page, best: int, kept: list[bool], whole: list[int], linked: list[int]) -> None:
+    """Keep siblings of the text that have few points or none: headings and code pass all theirs on.
+
+    Of the blocks without links that follow one another before or behind the kept ones, those up to
+    the last heading (before only), code, table or paragraph's worth of text stay, and the one
+    directly before. Between kept siblings, all without links stay.
+    """
+    while page.parents[best] and whole[page.parents[best]] == whole[best]:
+        best = page.parents[best]
+    kept[best] = True
+    row = [
+        i
+        for i in range(1, len(page.tags))
+        if page.parents[i] == page.parents[best] and page.tags[i] in BLOCK and not page.dropped[i] and whole[i]
+    ]
+    marks = [k for k, i in enumerate(row) if kept[i]]
+    if not marks:
+        return
+    first, last = marks[0], marks[-1]
+    low, high = first, last
+    for k in range(first - 1, -1, -1):
+        if linked[row[k]] >= 0.25 * whole[row[k]]:
+            break
+        if k == first - 1 or page.tags[row[k]] in _LEADING | _UNSCORED or whole[row[k]] >= SHORT_BLOCK:
+            low = k
+    for k in range(last + 1, len(row)):
+        if linked[row[k]] >= 0.25 * whole[row[k]]:
+            break
+        if page.tags[row[k]] in _UNSCORED or whole[row[k]] >= SHORT_BLOCK:
+            high = k
+    for i in row[low : high + 1]:
+        kept[i] |= linked[i] < 0.25 * whole[i]
+
+
 def main_text(source: str) -> str:
     """The main text of a page: its blocks joined by line ends, white space in a block made single."""
     page = _Page(source)
@@ -225,6 +263,8 @@ def main_text(source: str) -> str:
                     kept[i] |= density < 0.25
                 else:
                     kept[i] |= final[i] >= limit
+        if page.tags[best] != "article":
+            _keep_short_siblings(page, best, kept, whole, linked)
     for i in range(1, n):
         kept[i] = (kept[i] or kept[page.parents[i]]) and not page.dropped[i]
     blocks, current = [], []

@@ -275,6 +275,28 @@ def test_html(spark):
     assert [r.text for r in html_text.extract_text(edge).collect()] == ["", "", "deep"]
 
 
+LONG = "A sentence of the text, with commas, and more, so that it counts, as it should, for the main text of the page. " * 4
+SHORT = "A short section, of one paragraph, that has a few hundred characters and too few points to stay by itself. " * 2
+
+
+def test_html_siblings_without_points():
+    """Pages without <article>: what stands beside the best container and belongs to it stays."""
+    text = lambda *blocks: html_text.main_text("<body>" + "".join(blocks) + "</body>").split("\n")
+    long, short = LONG.strip(), SHORT.strip()
+    content = f"<div class=content><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    nav = "<div><a href=x>One</a> <a href=y>Two</a></div>"
+    assert text("<h1>T</h1>", content) == ["T", *[long] * 3]
+    assert text("<h1>T</h1><div>By me</div>", content) == ["T", "By me", *[long] * 3]
+    assert text("<h1>T</h1>", f"<div>{content}</div>") == ["T", *[long] * 3]
+    assert text(content, "<pre>x = 1</pre>", nav) == [*[long] * 3, "x = 1"]
+    assert text("<pre>x = 1</pre>", content) == ["x = 1", *[long] * 3]
+    assert text(content, "<table><tr><td>1</table>", content) == [*[long] * 3, "1", *[long] * 3]
+    assert text(content, f"<h2>S</h2><section><p>{short}</p></section>") == [*[long] * 3, "S", short]
+    assert text(content, "<h2>S</h2><div>short</div>", content) == [*[long] * 3, "S", "short", *[long] * 3]
+    assert text("<div>Site</div>", "<h1>T</h1>", nav, content, nav, "<div>2020 Acme</div>") == [long] * 3
+    assert text(nav, "<h1><a href=x>T</a></h1>", content, "<nav>x</nav><div>2020 Acme</div>") == [long] * 3
+
+
 def test_sha_columns(spark):
     row = bpe.op6_bpe(spark, SF).where("doc_id = 1").collect()[0]
     text = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 1").collect()[0].text
