@@ -54,12 +54,12 @@ class Network:
         second = (self.taps[2][None, :, :] + self.taps[3][:, None, :]).reshape(65536, -1)
         return first.astype(np.float32), second.astype(np.float32)
 
-    def score(self, text: bytes, tables: tuple[np.ndarray, np.ndarray]) -> float:
+    def score(self, text: bytes | pa.Buffer, tables: tuple[np.ndarray, np.ndarray]) -> float:
         """The probability of quality 1 of a whole text, in memory that doesn't grow with it."""
         starts, total, weight = chunk_starts(len(text)), 0.0, 0
         for k in range(0, len(starts), SEGMENT_CHUNKS):
             part = starts[k : k + SEGMENT_CHUNKS]
-            raw = text[part[0] : part[-1] + CHUNK_BYTES]
+            raw = bytes(text[part[0] : part[-1] + CHUNK_BYTES])
             data = np.frombuffer(raw + b"\0" * WIDTH, np.uint8).astype(np.uint16)
             pairs = data[:-1] + (data[1:] << 8)
             n = max(1, len(raw) - WIDTH + 1)  # windows that lie in the text
@@ -183,19 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
 
 
 def score_texts(docs: DataFrame, network: Network) -> DataFrame:
-    """(row, score) of each row of ``docs``; ``row`` holds all its columns. Null text scores as empty."""
-    source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())])
+    """``docs`` and a column ``score``. Null text scores as empty.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python, and one number a row comes back; all other columns stay in the JVM. A column of
+    ``docs`` that is called score is replaced.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = network.pair_tables()
-        for batch in batches:
-            scores = [
-                network.score(x.as_buffer().to_pybytes() if x.is_valid else b"", tables) for x in batch["text"]
-            ]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(scores, pa.float64())], names=schema.names)
+        for batch in texts:
+            yield pa.array((network.score(x.as_buffer() if x.is_valid else b"", tables) for x in batch), pa.float64())
 
-    return source.mapInArrow(run, schema)
+    return docs.withColumn("score", score(F.col("text").cast("string")))
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +203,8 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     network = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_texts(docs.select("doc_id", "text"), network).select(
-        F.col("row.doc_id").alias("doc_id"),
-        held_out(F.col("row.doc_id")).alias("held_out"),
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= MIN_SCORE).cast("int").alias("predicted"),
     )
@@ -217,4 +217,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     earlier stage left.
     """
     network = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, network).where(F.col("score") >= MIN_SCORE).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return score_texts(rows, network).where(F.col("score") >= MIN_SCORE).select("row.*")

@@ -146,6 +146,14 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     )
 
 
+def rejected_hosts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """(host) of the rejected hosts, as a written table: Spark knows its size, and broadcasts it if it is small.
+
+    Otherwise a join would deal the documents by host, and a host with a third of them to one task.
+    """
+    return materialize(host_verdicts(counts, max_rate).where("host_rejected").select("host"), "rejected-hosts")
+
+
 def quality_verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,7 +168,7 @@ def quality_verdicts(
     Extra columns don't matter, whatever their names. An empty table gives an empty result.
     """
     counts = materialize(document_counts(docs, id_col, text_col, host_col).drop("row"), "rules")
-    rejected = host_verdicts(counts, max_rate).where("host_rejected").select("host", "host_rejected")
+    rejected = rejected_hosts(counts, max_rate).withColumn("host_rejected", F.lit(True))
     return (
         counts.join(rejected, "host", "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("host_rejected").isNull())
@@ -177,17 +185,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose own rules and whose host pass.
 
-    Rules are evaluated twice, once for the hosts' totals and once for the documents, so that
-    texts stay where they are; only hosts that are rejected are joined to the documents.
+    Rules are evaluated once: each document's verdict is written beside it, without the row where the rules
+    fail. The hosts' totals read two small columns of that table; texts are never shuffled.
     """
     counts = document_counts(docs, "doc_id", "text", "source")
-    summary = materialize(counts.select("host", "base_failed"), "rules")
-    rejected = host_verdicts(summary).where("host_rejected").select("host")
-    kept = counts.where(~F.col("base_failed")).join(rejected, "host", "left_anti")
-    return kept.select("row.*")
+    judged = counts.select("host", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row"))
+    judged = materialize(judged, "rules")
+    rejected = rejected_hosts(judged.select("host", "base_failed"))
+    return judged.where(~F.col("base_failed")).join(rejected, "host", "left_anti").select("row.*")
 
 
-def oracle_rules(source: str = "documents") -> str:
+def oracle_rules(source: str = "documents", max_rate: float = MAX_HOST_RATE) -> str:
     """DuckDB: the rows of ``source`` with their counts, base_failed and kept."""
     return f"""
     WITH words AS (
@@ -224,7 +232,7 @@ def oracle_rules(source: str = "documents") -> str:
     ), rejected AS (
       SELECT host FROM hosts, (SELECT m, CASE WHEN b > 0 THEN least({PRIOR_WEIGHT[1]}, greatest({PRIOR_WEIGHT[0]}, s / b - 1))
                                               ELSE {PRIOR_WEIGHT[1]} END AS k FROM prior)
-      WHERE (f + m * k) / (n + k) > {MAX_HOST_RATE}
+      WHERE (f + m * k) / (n + k) > {max_rate}
     )
     SELECT * EXCLUDE (host, rid), NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM rejected)) AS kept
     FROM judged"""

@@ -110,6 +110,28 @@ def test_quality_rules_edges(spark, edge_docs, no_docs):
     assert {r.doc_id for r in quality_rules.stage(spark, df, "").collect()} == kept
 
 
+def test_host_verdicts_match_sql(spark):
+    """A limit that some hosts of the table cross and others don't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = quality_rules.document_counts(docs, "doc_id", "text", "source")
+    rates = sorted(r.shrunk_rate for r in quality_rules.host_verdicts(counts).collect())
+    limit = (rates[-3] + rates[-4]) / 2
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    theirs = con.sql(f"SELECT doc_id, base_failed, kept FROM ({quality_rules.oracle_rules(max_rate=limit)})").fetchall()
+    ours = quality_rules.quality_verdicts(docs, max_rate=limit).select("id", "base_failed", "kept").collect()
+    assert plain(ours) == plain(theirs)
+    assert any(not failed and not kept for _, failed, kept in theirs) and any(kept for *_, kept in theirs)
+
+
+def test_quality_rules_of_a_very_long_text(spark):
+    """Counts are whole beyond any size of a position or a batch."""
+    text = " ".join(f"w{i}" for i in range(400_000)) + "\n" + " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    row = quality_rules.quality_verdicts(df).collect()[0]
+    assert (row.n_words, row.n_repeat_words, row.n_dup_lines) == (400_300, 600, 0)
+
+
 def test_repeated_words_beside_a_like_hash(spark):
     """The hashes of 'w1826410 x y' and 'w2433512 x y' agree in their upper 40 bits."""
     texts = ["w1826410 x y w2433512 x y w1826410 x y", "w2433512 x y w1826410 x y w2433512 x y", "w1826410 x y w2433512 x y", "a b c d a b c"]
