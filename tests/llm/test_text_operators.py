@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from fitlake.llm import bpe, html_text, license_scan, line_dedup, packing, quality_rules, registry
+from fitlake.llm import bpe, html_text, line_dedup, packing, quality_rules, registry
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, t string, key string, id long"
@@ -140,147 +141,6 @@ def test_repeated_words_beside_a_like_hash(spark):
     assert found == {0: 6, 1: 6, 2: 0, 3: 6}
 
 
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including all rights.
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
-
-
-def test_licenses(spark, edge_docs, no_docs):
-    scan = lambda text: license_scan.match_rules(license_scan.sentence_ids(text))
-    assert scan("prose without a stop\nLicensed under CC BY-NC 4.0.\nMore.") == (["CC-BY-NC-4.0"], [])
-    assert scan("A.\nThis work is licensed under the GNU General Public License, version 3.") == (["GPL-3.0-only"], [])
-    assert scan(MIT + "\n\nReleased under the MIT License.")[0] == ["MIT", "MIT"]
-    assert scan("# SPDX-License-Identifier: Apache-2.0")[0] == ["apache-2.0"]
-    assert scan("The license to drive was lost.") == ([], []) and scan("") == ([], [])
-    assert license_scan.scan_licenses(edge_docs).count() == edge_docs.count()
-    assert license_scan.scan_licenses(no_docs).count() == 0
-
-
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies."""
-BSD = """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer.
-2. Redistributions in binary form must reproduce the above copyright notice,
-   this list of conditions and the following disclaimer in the documentation
-   and/or other materials provided with the distribution.
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
-#: A text of each licence, as it stands below a copyright line.
-BELOW_COPYRIGHT = [
-    ("MIT", MIT), ("MIT", "Released under the MIT License."), ("ISC", ISC), ("BSD-2-Clause", BSD),
-    ("BSD-3-Clause", "Licensed under the 3-clause BSD license."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General\nPublic License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."),
-    ("LGPL-2.1-only", "This library is distributed under the terms of the GNU Lesser General Public License, version 2.1."),
-    ("AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License v3 or later."),
-    ("CC0-1.0", "Released under CC0 1.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("mit", "SPDX-License-Identifier: MIT"),
-]
-
-
-@pytest.mark.parametrize("name, text", BELOW_COPYRIGHT)
-@pytest.mark.parametrize("line", ["Copyright (c) 2021 Jane Doe\n", "Copyright 2019-2021 Acme\n\n", "prose above\n * COPYRIGHT (C)\n * 2020 Acme, Inc\r\n", "© 1999 x\nCopyright © 2020 A\nCopyright © 2021 B\n"])
-def test_licenses_below_a_copyright_line(name, text, line):
-    licences, left = license_scan.match_rules(license_scan.sentence_ids(line + text))
-    assert licences == [name] and set(left) == {"copyright"} and len(left) == line.lower().count("copyright")
-
-
-def test_copyright_within_sentences():
-    ids = lambda text: [name for name, _ in license_scan.sentence_ids(text)]
-    assert ids(ISC.replace("above copyright", "above\ncopyright")) == ["isc_permission"]
-    assert ids("Copyright (c) 2021 Jane Doe. All rights reserved.\nReleased under the MIT License.") == ["copyright", "all_rights", "mit_named"]
-    assert ids("Released under the MIT License\n# Copyright 2020 Acme") == ["mit_named", "copyright"]
-
-
-MIT_UNALTERED = """MIT License
-
-Copyright (c) 2021 Jane Doe
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE.
-"""
-GPL2_UNALTERED = """    Copyright (C) 2021  Jane Doe
-
-    This program is free software; you can redistribute it and/or modify
-    it under the terms of the GNU General Public License as published by
-    the Free Software Foundation; either version 2 of the License, or
-    (at your option) any later version.
-
-    This program is distributed in the hope that it will be useful,
-    but WITHOUT ANY WARRANTY; without even the implied warranty of
-    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
-    GNU General Public License for more details.
-
-    You should have received a copy of the GNU General Public License along
-    with this program; if not, write to the Free Software Foundation, Inc.,
-    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
-"""
-MPL2_UNALTERED = """This Source Code Form is subject to the terms of the Mozilla Public
-License, v. 2.0. If a copy of the MPL was not distributed with this
-file, You can obtain one at https://mozilla.org/MPL/2.0/.
-"""
-APACHE2_UNALTERED = """   Copyright 2021 Jane Doe
-
-   Licensed under the Apache License, Version 2.0 (the "License");
-   you may not use this file except in compliance with the License.
-   You may obtain a copy of the License at
-
-       http://www.apache.org/licenses/LICENSE-2.0
-
-   Unless required by applicable law or agreed to in writing, software
-   distributed under the License is distributed on an "AS IS" BASIS,
-   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-   See the License for the specific language governing permissions and
-   limitations under the License.
-"""
-
-
-def test_unaltered_licenses():
-    texts = {"MIT": MIT_UNALTERED, "GPL-2.0-or-later": GPL2_UNALTERED, "MPL-2.0": MPL2_UNALTERED, "Apache-2.0": APACHE2_UNALTERED}
-    for name, text in texts.items():
-        for around in ("%s", "prose without a stop\n%s\nand more of it", "Some prose; and\n%s"):
-            for form in (text, "".join(f" * {line}\n" for line in text.splitlines()), text.replace("\n", "\r\n")):
-                licences, left = license_scan.match_rules(license_scan.sentence_ids(around % form))
-                assert licences == [name] and set(left) <= {"copyright"}
-    assert license_scan.match_rules(license_scan.sentence_ids("".join(texts.values())))[0] == list(texts)
-    in_one_line = " ".join(MIT_UNALTERED.split("Doe")[1].split())
-    assert [name for name, _ in license_scan.sentence_ids(in_one_line)] == ["mit_permission", "mit_condition", "mit_as_is", "mit_liability"]
-
-
-def test_licenses_beside_semicolons():
-    ids = lambda text: [name for name, _ in license_scan.sentence_ids(text)]
-    assert ids("Copyright 2020 Acme; Released under the MIT License.") == ["copyright", "mit_named"]
-    assert ids("It is free; licensed under the MIT license; released under CC0 1.0.") == ["mit_named", "cc0_named"]
-    assert ids("The software is provided as is, without warranty of any kind, express or implied, at all; released under the MIT license.") == ["mit_as_is", "mit_named"]
-    assert ids("License: Released under the MIT License.") == ["mit_named"]
-
-
-def test_licenses_of_the_corpus(spark):
-    """Every planted licence line is found, and nothing else."""
-    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    named = [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3.")]
-    for r in license_scan.op3_license_scan(spark, "/root/testdata/sf0.01").collect():
-        lines = docs[r.doc_id].split("\n")
-        assert sorted(filter(None, r.licenses.split(","))) == sorted(n for n, line in named for x in lines if x == line)
-
-
 def test_html(spark):
     page = """<html class="has-sidebar"><body class="nav-open"><header><h1>Site</h1></header><div id="cookie-notice"><p>We use cookies, many, many of them.</p></div>
     <div id=main><div class="content"><h2>Title</h2><p>First, with commas &amp; a <a href=x>link</a>.<p>Second <i>one<br>x</i><ul><li>a<li>b</ul></div>
@@ -319,6 +179,58 @@ def test_html_siblings_without_points():
     assert text(nav, "<h1><a href=x>T</a></h1>", content, "<nav>x</nav><div>2020 Acme</div>") == [long] * 3
 
 
+PROSE = "<p>A long paragraph, with commas, and words, that goes on for a while, so that it counts, as prose.</p>" * 9
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="elementor-element elementor-widget elementor-widget-text">', "</div>"),
+        ('<main><div class="commentary">', "</div></main>"),
+        ('<main><div class="shared-layout">', "</div></main>"),
+        ('<main><div id="notice-to-readers">', "</div></main>"),
+        ('<form id="aspnetForm"><nav><a href=x>y</a></nav><div>', "</div></form>"),
+        ("<html><head><title>x</title><meta a=b><div>", "</div>"),
+        ("<html><head><title>x</title>", ""),
+        ('<body><div class="page has-sidebar"><div class=content>', "</div><div class=sidebar><a href=x>y</a> zz</div></div>"),
+        ('<table><tr><td class="nav"><a href=x>y</a></td><td>', "</td></tr></table>"),
+    ],
+)
+def test_looks_that_mislead(before, after):
+    assert html_text.main_text(before + PROSE + after).split("\n") == ["A long paragraph, with commas, and words, that goes on for a while, so that it counts, as prose."] * 9
+
+
+def test_rows_of_a_table():
+    page = f"<table><tr><td>{PROSE}</td></tr><tr><td>{PROSE}</td></tr><tr><td><a href=x>{PROSE}</a></td></tr></table>"
+    assert html_text.main_text(page).count("A long") == 18
+
+
+def test_furniture_is_not_taken_back_beside_an_article():
+    """A short article stays alone, and an empty one gives nothing, however long comments and adverts are."""
+    comments = f"<div class=comments>{PROSE}</div><div class=notice>{PROSE}</div><footer>{PROSE}</footer><form>{PROSE}</form>"
+    assert html_text.main_text(f"<article><h1>T</h1><p>Short.</p></article>{comments}") == "T\nShort."
+    assert html_text.main_text(f"<article></article>{comments}") == ""
+    assert html_text.main_text(f'<article><h2 id="related-work">Related</h2><p>x</p><section id="comments">{PROSE}</section></article>') == "Related\nx"
+    assert html_text.main_text(f"<nav>{PROSE}</nav><script>{PROSE}</script>") == ""
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \">\" ", "<div></section>", "< ", "<!--", "<p>", "<ul><li>", "<table><tr><td>x", "<b><div><i></b>", "<div>", "<article>a", "&amp;<b", "<a href='"])
+def test_time_is_linear(part):
+    """A page of 1 MB and more, of markup at its worst."""
+    began = time.time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 60  # a quadratic reader takes minutes to hours
+
+
+def test_long_pages_and_empty_tables(spark):
+    words = " ".join(f"w{i}," for i in range(200_000))
+    rows = [(1, "u", f"<body><nav>x</nav><div><p>{words}</p><p>{words}</p></div>", 1), (1, "u", f"<p>{words}", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    out = sorted(html_text.extract_text(pages).collect(), key=lambda r: r.n_chars)
+    assert [r.text for r in out] == [words, f"{words}\n{words}"] and [r.n_chars for r in out] == [len(words), 2 * len(words) + 1]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
 def test_sha_columns(spark):
     row = bpe.op6_bpe(spark, SF).where("doc_id = 1").collect()[0]
     text = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 1").collect()[0].text
