@@ -12,17 +12,19 @@ the payload are checked, and so is that nothing is left over in a member.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from .scratch import materialize, new_path, qualified
 
 READ_BYTES = 64 << 10
 #: Bytes of a written archive after which the next file is begun.
@@ -40,12 +42,8 @@ class WarcError(ValueError):
 
 
 def _one_line(value: str) -> str:
-    """A header's value; line ends would break the framing."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if value else ""
-
-
-def _value(text: str) -> str:
-    return text.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    """A header's value: white space and control signs would break the framing, or be stripped."""
+    return re.sub(r"[%\s\x00-\x1f\x7f]", lambda m: quote(m[0], safe=""), value)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
@@ -108,18 +106,21 @@ def _headers(lines: Iterable[bytes]) -> dict[str, str]:
     return found
 
 
-def read_records(source: BinaryIO, max_header: int = 1 << 20) -> Iterator[dict]:
+def read_records(source: BinaryIO) -> Iterator[dict]:
     """The records of an archive in order; every digest has been checked.
 
     Payloads are hashed while they are inflated and kept as a whole (``payload``), since a record's
     payload is one value of the result; nothing else is held.
     """
     for pieces in _members(source):
-        held = b""
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if len(held) > max_header or not (more := next(pieces, b"")):
+        held = bytearray()
+        seen = 0  # where the header's end has been looked for
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not (more := next(pieces, b"")):
                 raise WarcError("a record without a header's end")
             held += more
+        held = bytes(held)
         version, *lines = held[:end].split(b"\r\n")
         if version != VERSION:
             raise WarcError(f"not a record: {version[:40]!r}")
@@ -156,7 +157,7 @@ def read_records(source: BinaryIO, max_header: int = 1 << 20) -> Iterator[dict]:
             raise WarcError("a payload that doesn't match its digest")
         yield {
             "page_id": int(headers["x-page-id"]) if "x-page-id" in headers else None,
-            "url": _value(headers["warc-target-uri"]) if "warc-target-uri" in headers else None,
+            "url": unquote(headers["warc-target-uri"]) if "warc-target-uri" in headers else None,
             "record_type": headers["warc-type"],
             "payload_bytes": int(http_headers["content-length"]),
             "payload_digest": digest,
@@ -187,8 +188,9 @@ def page_roles(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of (page_id, url, html); return (archive, records, bytes) of each file.
 
-    ``path`` is a URI of a folder that all executors share; any store that pyarrow can write to
-    does. Null html is an empty payload. Extra columns are not read.
+    ``path`` is a folder that all executors share, as Spark understands it; any store that pyarrow can
+    write to does. Null html is an empty payload; urls and payloads of any length and content come back
+    as they were. Rows that repeat a page_id are records of their own. Extra columns are not read.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -203,8 +205,10 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
     )
 
+    uri = qualified(pages.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pafs.FileSystem.from_uri(path)
+        store, folder = pafs.FileSystem.from_uri(uri)
         store.create_dir(folder, recursive=True)
         out = None
         for batch in batches:
@@ -240,8 +244,10 @@ def read_archives(archives: DataFrame, path: str, payloads: bool = True) -> Data
         ]
     )
 
+    uri = qualified(archives.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(path)
+        store, _ = pafs.FileSystem.from_uri(uri)
         for batch in batches:
             for name in batch["archive"].to_pylist():
                 with store.open_input_stream(name, compression=None) as source:
