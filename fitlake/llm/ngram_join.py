@@ -1,12 +1,22 @@
 """N-gram Jaccard join with signature trees.
 
 A document is its set of word shingles, hashed to 64 bits. Documents of equal sets are folded into
-one class at once. Classes that could link are brought together by banded minhashes, whose number
-follows from the threshold so that a pair right at it is missed with a chance below ``MISS``. Inside
-a group a signature tree decides: its leaves hold token bitmaps of documents, its inner nodes the
-OR of their children's bitmaps and the range of their sizes. Two nodes are traversed together, and
-a pair of nodes is given up when the largest overlap that their bitmaps and sizes leave possible is
-below the threshold. What remains is compared exactly, unless links already found join the two.
+one class at once. Pairs of sets are then ruled out from the top down by the largest overlap that
+bits and sizes leave possible, and every step is exact: no pair at or above the threshold is lost.
+
+* Top nodes. The bits of a set are its rarest tokens: so many that two sets which link must share one
+  (see ``prefixes``). Nodes are (bit, size
+  class). They are traversed against each other as a join on the bit: nodes without a common bit, or
+  of sizes that can't link, never meet. Which tokens are common is counted over all sets; the order
+  among them decides how much is ruled out, never what is found.
+* Sets that meet in small nodes are ruled out in pairs: an overlap is at most the number of common
+  bits and what follows a set's bits. Nodes with more than ``NODE_SETS`` sets (crowds of near
+  copies) give no pairs: each set in them hangs on the node's first one, and on that of the next
+  smaller size class.
+* What is still connected forms a group, whose texts meet in one task. There a signature tree has
+  token bitmaps of sets in its leaves, the OR of the bitmaps and the range of the sizes in inner
+  nodes, and is traversed against itself. What remains is compared exactly, unless links already
+  found join the two.
 
 Groups are bounded. A large one is cut into chunks by set size and hash; chunks are first compared
 with themselves and with one common document, so that a crowd of near copies collapses; then only
@@ -31,7 +41,12 @@ from .groups import binaries, map_groups
 from .scratch import materialize
 
 WORDS, PERCENT = 5, 80
-MISS = 1e-8
+#: Sets in a top node beyond which it gives no pairs, and its token counts as common.
+NODE_SETS = 32
+#: Common tokens that tasks are told of at most (8 bytes each); it bounds what is broadcast, not what is found.
+MAX_COMMON = 1 << 18
+#: Tokens that a task counts at a time; 8 bytes each.
+RUN_TOKENS = 4 << 20
 #: Shingles in a chunk, about; two chunks meet in a task.
 CHUNK_SHINGLES = 250_000
 FANOUT = 8
@@ -88,27 +103,20 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def plan_bands(percent: int, miss: float = MISS) -> tuple[int, int]:
-    """(rows, bands): rows such that about half of the bands of a pair at the threshold agree."""
-    t = percent / 100
-    rows = max(1, round(math.log(0.47) / math.log(t))) if t < 1 else 8
-    same = t**rows if t < 1 else 1 - 1e-12
-    return rows, max(1, math.ceil(math.log(miss) / math.log1p(-same)))
+def prefixes(n: int, percent: int) -> tuple[int, int]:
+    """How many of its first tokens, in one order for all sets, are the bits of a set of ``n`` tokens.
+
+    Two sets that link share one of the first number's tokens of the larger and the second's of the smaller.
+    """
+    return n + n * -percent // 100 + 1, n + n * -2 * percent // (100 + percent) + 1
 
 
-def band_keys(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """A key for each band; memory doesn't grow with the set."""
-    rng = np.random.default_rng([SEED, rows, bands])
-    factor = rng.integers(0, 1 << 63, rows * bands, np.uint64) * _U(2) + _U(1)
-    shift = rng.integers(0, 1 << 63, rows * bands, np.uint64)
-    low = np.full(rows * bands, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        block = hashes[at : at + 1024, None] * factor + shift
-        np.minimum(low, block.min(axis=0), out=low)
-    key = np.arange(bands, dtype=np.uint64)
-    for column in low.reshape(bands, rows).T:
-        key = _mix(key + _mix(column))
-    return key.view(np.int64)
+def rarest(hashes: np.ndarray, common: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` of a sorted set's tokens, in an order in which those in ``common`` (sorted) come last."""
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[:count]
 
 
 def can_link(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -231,6 +239,89 @@ def _size_class(percent: int):
     return F.floor(F.log(F.col("n")) / step * (1 - 1e-12)).cast("long")
 
 
+def _common_tokens(source: DataFrame, words: int) -> np.ndarray:
+    """The tokens of more than ``NODE_SETS`` rows, sorted; the most common ``MAX_COMMON`` if there are more.
+
+    Tokens are counted in runs of ``RUN_TOKENS``, of which those that occur once send nothing: a token that is
+    rarer than once in a run may be missed, and then counts as rare.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def run() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            several = counts > 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(tokens[several].view(np.int64)), pa.array(counts[several])], names=["token", "rows"]
+            )
+
+        size = 0
+        for batch in batches:
+            for text in binaries(batch["text"]):
+                held.append(shingles(text, words))
+                size += len(held[-1])
+                if size >= RUN_TOKENS:
+                    yield run()
+                    size = 0
+        if held:
+            yield run()
+
+    counts = source.where("id IS NOT NULL").mapInArrow(counted, "token long, rows long").groupBy("token").agg(F.sum("rows").alias("rows"))
+    most = counts.where(F.col("rows") > NODE_SETS).orderBy(F.desc("rows"), "token").limit(MAX_COMMON).select("token").toPandas()
+    return np.sort(most["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _sets(source: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(id, n, digest, bits) of every row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, bits = [], [], [np.zeros(0, np.int64)]
+            for text in binaries(batch["text"]):
+                found = shingles(text, words)
+                sizes.append(len(found))
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                bits.append(rarest(found, common, prefixes(len(found), percent)[0] if len(found) else 0).view(np.int64))
+            offsets = pa.array(np.cumsum([len(k) for k in bits]), pa.int32())
+            kept = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), kept],
+                names=["id", "n", "digest", "bits"],
+            )
+
+    return materialize(source.mapInArrow(hashed, "id long, n long, digest binary, bits array<long>"), "shingles")
+
+
+def _meetings(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that connect all pairs which the top nodes don't rule out."""
+    places = classes.select("rep", "n", F.posexplode("bits").alias("pos", "token"))
+    nodes = places.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    places = materialize(places.join(nodes, "token"), "nodes")
+    small, crowded = places.where(F.col("sets") <= NODE_SETS), places.where(F.col("sets") > NODE_SETS)
+
+    x, y = (small.select("token", F.col("rep").alias(r), F.col("n").alias(n)) for r, n in (("a", "x"), ("b", "y")))
+    sizes = (F.col("x") * 100 >= F.col("y") * percent) & (F.col("y") * 100 >= F.col("x") * percent)
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & sizes)
+    pairs = pairs.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    # Bits of a set that lie in crowded nodes, where pairs aren't counted.
+    unseen = materialize(crowded.groupBy("rep").agg(F.count(F.lit(1)).alias("unseen")), "unseen-bits")
+    for end, name in (("a", "unseen_a"), ("b", "unseen_b")):
+        pairs = pairs.join(unseen.select(F.col("rep").alias(end), F.col("unseen").alias(name)), end, "left")
+    rest = F.expr(f"(greatest(x, y) * {percent} + 99) div 100 - 1")
+    both = F.coalesce("unseen_a", F.lit(0)) * F.coalesce("unseen_b", F.lit(0))
+    most = F.col("shared") + F.when(both > 0, F.least("unseen_a", "unseen_b")).otherwise(0) + rest
+    pairs = pairs.where(most * (100 + percent) >= (F.col("x") + F.col("y")) * percent).select("a", "b")
+
+    short = F.col("pos") < F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1")
+    size = _size_class(percent)
+    first = crowded.where(short).groupBy("token", size.alias("size")).agg(F.min("rep").alias("b"))
+    hung = crowded.withColumn("size", F.explode(F.when(size > 0, F.array(size, size - 1)).otherwise(F.array(size))))
+    stars = hung.join(first, ["token", "size"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return pairs.unionAll(stars)
+
+
 def link_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -251,41 +342,12 @@ def link_components(
         F.col(id_col).cast("long").alias("id"),
         F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"),
     )
-    rows, bands = plan_bands(percent)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests, keys = [], [], []
-            for text in binaries(batch["text"]):
-                found = shingles(text, words)
-                sizes.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                keys.append(band_keys(found, rows, bands) if len(found) else np.zeros(0, np.int64))
-            offsets = np.zeros(len(keys) + 1, np.int32)
-            np.cumsum([len(k) for k in keys], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
-                ],
-                names=["id", "n", "digest", "keys"],
-            )
-
-    base = materialize(source.mapInArrow(hashed, "id long, n long, digest binary, keys array<long>"), "shingles")
-    # Equal sets have equal keys: any of them does.
-    classes = (
-        base.where("n > 0 AND id IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    )
-    classes = materialize(classes, "classes")
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    shared = (
-        keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    )
-    near = keyed.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    base = _sets(source, words, percent, _common_tokens(source, words))
+    # Equal sets have equal bits: any of them does.
+    by_set = base.where("n > 0 AND id IS NOT NULL").groupBy("digest")
+    first = F.min("id").alias("rep"), F.first("n").alias("n")
+    classes = materialize(by_set.agg(*first), "classes")
+    near = _meetings(by_set.agg(*first, F.first("bits").alias("bits")), percent)
     groups = connected_components(near).withColumnRenamed("node", "id").withColumnRenamed("component", "root")
     sized = classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
     members = materialize(groups.join(sized, "id").withColumn("size", _size_class(percent)), "members")

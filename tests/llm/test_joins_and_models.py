@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fitlake.llm import embedding_dedup, ngram_join, quality_model, warc
+from fitlake.llm import embedding_dedup, ngram_join, quality_model, scratch, warc
 from fitlake.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +56,42 @@ def test_ngram_join_is_brute_force(spark, words, percent, chunk):
         assert (r.n_shingles, r.component_id) == (len(sets[r.id]), expected[r.id])
 
 
+@pytest.mark.parametrize(("percent", "node_sets", "max_common"), [(80, 3, 1 << 18), (80, 3, 5), (90, 8, 0), (50, 4, 100), (100, 2, 9)])
+def test_ngram_join_of_crowds_is_brute_force(spark, monkeypatch, percent, node_sets, max_common):
+    """Crowds of texts that share more or less of a template, of all sizes, with nodes that overflow."""
+    monkeypatch.setattr(ngram_join, "NODE_SETS", node_sets)
+    monkeypatch.setattr(ngram_join, "MAX_COMMON", max_common)
+    rng = np.random.default_rng(percent)
+    rows = []
+    for k in range(12):
+        template = [f"t{k % 9}x{j}" for j in range(rng.integers(1, 120))]
+        for _ in range(rng.integers(1, 40)):
+            share = rng.choice([0.6, 0.75, 0.82, 0.88, 0.9, 0.95, 0.99, 1.0])
+            own = [w if rng.random() < share else f"o{rng.integers(1 << 40)}" for w in template]
+            rows.append((len(rows), " ".join(own[: rng.integers(1, len(own) + 1)] if rng.random() < 0.2 else own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = word_sets(rows, 1)
+    links = [
+        (i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    ]
+    expected = components(sets, links)
+    for chunk in (250_000, 400):
+        found = ngram_join.link_components(docs, words=1, percent=percent, chunk_shingles=chunk).collect()
+        assert {r.id: r.component_id for r in found} == expected
+
+
+def test_templates_send_no_text(spark):
+    """Texts that share 60 % of their words, and don't link, are ruled out before any text moves, in any number."""
+    rng = np.random.default_rng(4)
+    template = [f"t{j}" for j in range(300)]
+    for n in (300, 1200):
+        texts = [" ".join(template[:180] + [f"o{x}" for x in rng.integers(1 << 40, size=120)]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text", F.encode("text", "UTF-8"))
+        base = ngram_join._sets(docs, 5, 80, ngram_join._common_tokens(docs, 5))
+        sets = base.select("digest", F.col("id").alias("rep"), "n", "bits")
+        assert ngram_join._meetings(sets, 80).count() == 0
+
+
 def test_ngram_join_edges(spark):
     rows = [(1, "a b c d e f"), (2, "A b  c\nd e f"), (3, None), (4, ""), (5, "a"), (6, "A"), (None, "a b c d e f"), (2, "a b c d e f")]
     docs = spark.createDataFrame([(i, t, "x", 0, 0) for i, t in rows], "doc_id long, text string, digest string, n int, rep int")
@@ -137,6 +174,25 @@ def test_warc_round_trip_and_damage(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), path + "0"), path + "0").count() == 0
 
 
+def test_warc_of_long_and_odd_values(spark, tmp_path):
+    """Headers and payloads of any length, and urls with blanks and signs anywhere, come back whole."""
+    urls = ["http://a/" + "x" * 3_000_000, "  blanks at ends \t", "a%20b\r\n\r\nc: d", "é\u2028\u00a0", ""]
+    rows = [(i, u, "p" * 5_000_000 if i == 1 else f"page {i}\r\n\r\n", f"http{i}") for i, u in enumerate(urls)]
+    rows.append(rows[4])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    for path in (f"file://{tmp_path}/odd", f"{tmp_path}/plain"):
+        out = warc.read_archives(warc.write_archives(pages, path), path).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in out) == sorted(r[:3] for r in rows)
+
+
+def test_scratch_folder(spark):
+    """The session's setting first; a temporary folder only where everything runs on one machine."""
+    session = spark.newSession()
+    assert scratch.shared_dir(session) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert scratch.qualified(spark, "/a b/c") == "file:///a b/c" and scratch.qualified(spark, "file:///x") == "file:///x"
+    assert scratch.qualified(spark, "s3a://bucket/x") == "s3://bucket/x"
+
+
 def _gz(data):
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
