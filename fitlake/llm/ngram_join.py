@@ -41,10 +41,10 @@ from .groups import binaries, map_groups
 from .scratch import materialize
 
 WORDS, PERCENT = 5, 80
-#: Sets in a top node beyond which it gives no pairs, and its token counts as common.
+#: Sets in a top node beyond which it gives no pairs; rows of a token beyond which it counts as common.
 NODE_SETS = 32
 #: Common tokens that tasks are told of at most (8 bytes each); it bounds what is broadcast, not what is found.
-MAX_COMMON = 1 << 18
+MAX_COMMON = 1 << 20
 #: Tokens that a task counts at a time; 8 bytes each.
 RUN_TOKENS = 4 << 20
 #: Shingles in a chunk, about; two chunks meet in a task.
@@ -295,30 +295,37 @@ def _sets(source: DataFrame, words: int, percent: int, common: np.ndarray) -> Da
 
 
 def _meetings(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that connect all pairs which the top nodes don't rule out."""
-    places = classes.select("rep", "n", F.posexplode("bits").alias("pos", "token"))
-    nodes = places.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    places = materialize(places.join(nodes, "token"), "nodes")
-    small, crowded = places.where(F.col("sets") <= NODE_SETS), places.where(F.col("sets") > NODE_SETS)
+    """Edges (a, b) between classes that connect all pairs which the top nodes don't rule out.
 
-    x, y = (small.select("token", F.col("rep").alias(r), F.col("n").alias(n)) for r, n in (("a", "x"), ("b", "y")))
+    A set lies in the nodes of its bits and its size class, and in those of the class below, where only
+    smaller sets are met: so a pair meets once for each common bit, in the class of the smaller set.
+    """
+    places = classes.select("rep", "n", F.posexplode("bits").alias("pos", "token"))
+    several = places.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
+    own = _size_class(percent)
+    places = places.join(several, "token").withColumn("own", own).withColumn("size", F.explode(F.array("own", F.col("own") - 1)))
+    places = materialize(places.withColumn("own", F.col("own") == F.col("size")), "places")
+    nodes = places.groupBy("token", "size").agg(F.count(F.lit(1)).alias("sets"), F.count_if("own").alias("small")).where("sets > 1 AND small > 0")
+    crowds = materialize(nodes.where(F.col("sets") > NODE_SETS).select("token", "size"), "crowded-nodes")
+    few = places.join(nodes.where(F.col("sets") <= NODE_SETS).select("token", "size"), ["token", "size"])
+    crowded = materialize(places.join(crowds, ["token", "size"]), "crowded")
+
+    x, y = (few.select("token", "size", F.col("rep").alias(r), F.col("n").alias(n), F.col("own").alias(o)) for r, n, o in (("a", "x", "own_a"), ("b", "y", "own_b")))
     sizes = (F.col("x") * 100 >= F.col("y") * percent) & (F.col("y") * 100 >= F.col("x") * percent)
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & sizes)
+    pairs = x.join(y, ["token", "size"]).where((F.col("a") < F.col("b")) & (F.col("own_a") | F.col("own_b")) & sizes)
     pairs = pairs.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("shared"))
     # Bits of a set that lie in crowded nodes, where pairs aren't counted.
     unseen = materialize(crowded.groupBy("rep").agg(F.count(F.lit(1)).alias("unseen")), "unseen-bits")
     for end, name in (("a", "unseen_a"), ("b", "unseen_b")):
         pairs = pairs.join(unseen.select(F.col("rep").alias(end), F.col("unseen").alias(name)), end, "left")
     rest = F.expr(f"(greatest(x, y) * {percent} + 99) div 100 - 1")
-    both = F.coalesce("unseen_a", F.lit(0)) * F.coalesce("unseen_b", F.lit(0))
-    most = F.col("shared") + F.when(both > 0, F.least("unseen_a", "unseen_b")).otherwise(0) + rest
+    both = F.col("unseen_a").isNotNull() & F.col("unseen_b").isNotNull()
+    most = F.col("shared") + F.when(both, F.least("unseen_a", "unseen_b")).otherwise(0) + rest
     pairs = pairs.where(most * (100 + percent) >= (F.col("x") + F.col("y")) * percent).select("a", "b")
 
-    short = F.col("pos") < F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1")
-    size = _size_class(percent)
-    first = crowded.where(short).groupBy("token", size.alias("size")).agg(F.min("rep").alias("b"))
-    hung = crowded.withColumn("size", F.explode(F.when(size > 0, F.array(size, size - 1)).otherwise(F.array(size))))
-    stars = hung.join(first, ["token", "size"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    short = F.col("own") & (F.col("pos") < F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1"))
+    first = crowded.where(short).groupBy("token", "size").agg(F.min("rep").alias("b"))
+    stars = crowded.join(first, ["token", "size"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     return pairs.unionAll(stars)
 
 
