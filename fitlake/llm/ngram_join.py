@@ -41,12 +41,14 @@ from .groups import binaries, map_groups
 from .scratch import materialize
 
 WORDS, PERCENT = 5, 80
-#: Sets in a top node beyond which it gives no pairs; rows of a token beyond which it counts as common.
+#: Sets in a top node beyond which it gives no pairs.
 NODE_SETS = 32
 #: Common tokens that tasks are told of at most (8 bytes each); it bounds what is broadcast, not what is found.
 MAX_COMMON = 1 << 20
 #: Tokens that a task counts at a time; 8 bytes each.
-RUN_TOKENS = 4 << 20
+RUN_TOKENS = 2 << 20
+#: Counted rows from which a token is common.
+COMMON_ROWS = 16
 #: Shingles in a chunk, about; two chunks meet in a task.
 CHUNK_SHINGLES = 250_000
 FANOUT = 8
@@ -240,7 +242,7 @@ def _size_class(percent: int):
 
 
 def _common_tokens(source: DataFrame, words: int) -> np.ndarray:
-    """The tokens of more than ``NODE_SETS`` rows, sorted; the most common ``MAX_COMMON`` if there are more.
+    """The tokens that ``COMMON_ROWS`` rows hold, sorted; the most common ``MAX_COMMON`` if there are more.
 
     Tokens are counted in runs of ``RUN_TOKENS``, of which those that occur once send nothing: a token that is
     rarer than once in a run may be missed, and then counts as rare.
@@ -269,7 +271,7 @@ def _common_tokens(source: DataFrame, words: int) -> np.ndarray:
             yield run()
 
     counts = source.where("id IS NOT NULL").mapInArrow(counted, "token long, rows long").groupBy("token").agg(F.sum("rows").alias("rows"))
-    most = counts.where(F.col("rows") > NODE_SETS).orderBy(F.desc("rows"), "token").limit(MAX_COMMON).select("token").toPandas()
+    most = counts.where(F.col("rows") >= COMMON_ROWS).orderBy(F.desc("rows"), "token").limit(MAX_COMMON).select("token").toPandas()
     return np.sort(most["token"].to_numpy(np.int64).view(np.uint64))
 
 
