@@ -12,12 +12,15 @@ import sys
 from datetime import datetime, timezone
 from pathlib import Path
 
+from . import texts
 from .functions import codes
+from .functions.scalar import zone_bounds
 from .operators import verbs
 from .sinks import canonical
-from .sources.fit import StrictError, parse, read_messages
+from .sources.fit import StrictError, file_type, parse, read_files, read_messages
 
 OK, REMARKS, UNUSABLE, NOT_FIT, USAGE = 0, 2, 3, 4, 64
+NO_ACTIVITY_FILE = {"NOT_FIT_FORMAT", "FIT_TOO_SMALL"}
 
 
 class _Parser(argparse.ArgumentParser):
@@ -27,18 +30,17 @@ class _Parser(argparse.ArgumentParser):
         raise SystemExit(USAGE)
 
 
-def document(content: bytes, strip_pii: bool = False, mode: str = "lenient") -> dict:
+def document(content: bytes, strip_pii: bool = False, mode: str = "lenient", include_unknown: bool = True, include_raw: bool = False) -> dict:
     """What a file holds, as plain values: identity, messages in order, provenance, error."""
-    found = parse(content, mode)
-    messages = [m for m in found.messages if not (strip_pii and m["name"] == "user_profile")]
-    hidden = {"serial_number"} if strip_pii else set()
+    found = parse(content, mode, strip_pii=strip_pii, include_unknown=include_unknown, include_raw=include_raw)
     return canonical.json_safe({
+        "file_type": file_type(found.messages),
         "sha256": hashlib.sha256(content).hexdigest(),
         "size_bytes": len(content),
         "parts": found.parts,
         "messages": [
-            {"part": m["part"], "byte_offset": m["byte_offset"], "name": m["name"], "fields": {k: None if k in hidden else v for k, v in m["fields"].items()}}
-            for m in messages
+            {"part": m["part"], "byte_offset": m["byte_offset"], "name": m["name"], "fields": m["fields"]} | ({"raw": m["raw"]} if include_raw else {})
+            for m in found.messages
         ],
         "provenance": found.provenance,
         "error": found.error,
@@ -47,9 +49,9 @@ def document(content: bytes, strip_pii: bool = False, mode: str = "lenient") ->
 
 def exit_code(content: bytes) -> int:
     found = parse(content)
-    if found.error:
+    if found.error in NO_ACTIVITY_FILE:
         return NOT_FIT
-    return UNUSABLE if not found.messages else REMARKS if found.provenance else OK
+    return UNUSABLE if found.error or not found.messages else REMARKS if found.provenance else OK
 
 
 def moment(text: str, start: int, end: int) -> int:
@@ -85,7 +87,12 @@ def _parser() -> argparse.ArgumentParser:
     made["analyze"].add_argument("--female", action="store_true")
     for name in ("repair", "edit", "trim", "scrub"):
         made[name].add_argument("-o", "--output", required=True)
-    made["parse"].add_argument("--strip-pii", action="store_true")
+    for option in ("--strip-pii", "--include-raw", "--no-unknown", "--summary"):
+        made["parse"].add_argument(option, action="store_true")
+    for option in ("--hr-zones", "--power-zones"):
+        made["analyze"].add_argument(option, type=zone_bounds)
+    for name in ("analyze", "doctor", "reveal"):
+        made[name].add_argument("--text", action="store_true")
     made["inspect"].add_argument("--limit", type=int, default=50)
     for name in ("validate", "doctor"):
         made[name].add_argument("--platform", choices=("strict-spec", "garmin-connect", "strava"), default="strict-spec")
@@ -118,15 +125,31 @@ def _changed(args: argparse.Namespace, content: bytes) -> bytes:
 def analyze(args: argparse.Namespace) -> dict:
     """Sessions, structure and findings of one file. This verb alone starts Spark."""
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
+    from .functions import sports
     from .plans import activity, checks, structure
 
     spark = SparkSession.builder.appName("fitlake").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
     messages = read_messages(spark, str(Path(args.file).resolve()), args.mode).cache()
+    files = read_files(spark, str(Path(args.file).resolve()), args.mode)
+    sessions, owned = activity.kept(messages)
+    pieces = structure.structure(messages)
+    styles = activity.report(messages, args.ftp, args.max_hr, args.rest_hr, args.female).cache()
+    named = styles.select(*activity.OWN, sports.pace_style(F.col("profile")).alias("style"), (F.col("sport") == "swimming").alias("swim"))
+    label = sports.interval_label(F.col("n"), F.col("duration_s"), F.lit(None).cast("double"), F.col("intensity"), F.col("rest_s"), F.col("style"), F.col("swim"))
+    repeats = structure.repeat_groups(pieces).join(named, activity.OWN).withColumn("label", label).drop("style", "swim")
+    zones = [activity.time_in_zones(owned, messages, s, b).withColumn("stream", F.lit(s)) for s, b in (("heart_rate", args.hr_zones), ("power", args.power_zones))]
     held = lambda df, *order: [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
     return canonical.json_safe({
-        "sessions": held(activity.report(messages, args.ftp, args.max_hr, args.rest_hr, args.female), "part", "session"),
-        "structure": held(structure.structure(messages), "part", "session", "index"),
+        "sessions": held(styles, "part", "session"),
+        "structure": held(pieces, "part", "session", "index"),
+        "repeats": held(repeats, "part", "session", "repeat"),
+        "splits": held(activity.distance_splits(owned), "part", "session", "split"),
+        "zones": held(zones[0].unionByName(zones[1]), "part", "session", "stream", "zone"),
+        "insights": held(structure.insights(owned, sessions, repeats=repeats), "part", "session", "code"),
+        "gaps": held(activity.gaps(owned, messages, files, sessions), "part", "session", "t"),
+        "discrepancies": held(activity.discrepancies(sessions, activity.derived_totals(owned, messages, sessions)), "part", "session", "field"),
         "findings": held(checks.findings(messages), "part", "session", "code"),
     })
 
@@ -143,16 +166,19 @@ def main(argv: list[str] | None = None) -> int:
         return USAGE
     try:
         if args.verb == "parse":
-            print(canonical.dumps(document(content, args.strip_pii, args.mode)))
+            held = document(content, args.strip_pii, args.mode, not args.no_unknown, args.include_raw)
+            print(texts.summary(held) if args.summary else canonical.dumps(held))
         elif args.verb == "analyze":
             if parse(content, args.mode).messages:
-                print(canonical.dumps(analyze(args)))
+                held = analyze(args)
+                print(texts.analysis(held) if args.text else canonical.dumps(held))
         elif args.verb == "inspect":
             for m in parse(content).messages[: args.limit]:
                 print(f"{m['byte_offset']:>8} {m['global_num']:>5} {m['name']:<20} {len(m['wire']['payload'])} bytes")
         elif args.verb in ("validate", "doctor", "reveal"):
             found = verbs.reveal(content) if args.verb == "reveal" else getattr(verbs, args.verb)(content, args.platform)
-            print(canonical.dumps(found))
+            shown = texts.findings(found) if getattr(args, "text", False) else canonical.dumps(found)
+            print(shown)
             if args.verb != "reveal":
                 return REMARKS if found else OK
         else:
@@ -160,10 +186,10 @@ def main(argv: list[str] | None = None) -> int:
             return OK
     except verbs.VerbError as failure:
         print(f"error: {failure}", file=sys.stderr)
-        return NOT_FIT if failure.code == "NOT_FIT_FORMAT" else UNUSABLE
+        return NOT_FIT if failure.code in NO_ACTIVITY_FILE else UNUSABLE
     except StrictError as refusal:
         print(f"error: {refusal}", file=sys.stderr)
-        return NOT_FIT if refusal.code == "NOT_FIT_FORMAT" else UNUSABLE
+        return NOT_FIT if refusal.code in NO_ACTIVITY_FILE else UNUSABLE
     except ValueError as error:
         print(f"error: {error}", file=sys.stderr)
         return USAGE

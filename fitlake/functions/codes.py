@@ -6,6 +6,8 @@ from __future__ import annotations
 ERRORS = {
     "NOT_FIT_FORMAT": "no activity file, or a container that can't be opened",
     "FIT_NO_CONTENT": "a file without messages",
+    "FIT_EMPTY": "a file without bytes",
+    "FIT_TOO_SMALL": "a file that is shorter than a header",
     "REPAIR_NOTHING_TO_SALVAGE": "neither sessions nor records with times",
     "NO_TRIM_WINDOW": "trim without bounds",
     "TRIM_EMPTY": "no record lies within the bounds",
@@ -19,6 +21,9 @@ PROVENANCE = {
     "UNWRAPPED": "taken out of a container",
     "PREAMBLE_SKIPPED": "bytes before the header",
     "TRAILING_JUNK": "bytes after the last part",
+    "HEADER_INVALID": "a header of an odd size, or without the magic",
+    "PII_STRIPPED": "profiles of athletes and serial numbers left out on demand",
+    "UNKNOWN_MESSAGES_OMITTED": "messages that the profile doesn't name left out on demand",
     "HEADER_CRC_MISMATCH": "the header's checksum is wrong",
     "FILE_CRC_MISMATCH": "the file's checksum is wrong",
     "FILE_CRC_MISSING": "the file ends before its checksum",

@@ -22,6 +22,62 @@ def pace_seconds(speed: Column, base_m: float = 1000.0) -> Column:
     return F.when(speed > 0, F.lit(base_m) / F.when(speed > 0, speed))
 
 
+def speed_from_pace(seconds: Column, base_m: float = 1000.0) -> Column:
+    """Metres a second of a pace; a pace that isn't positive is an error, as it says no speed."""
+    return F.when(seconds > 0, F.lit(base_m) / F.when(seconds > 0, seconds)).when(
+        seconds.isNotNull(), F.raise_error(F.concat(F.lit("no speed for the pace "), seconds.cast("string"))).cast("double")
+    )
+
+
+def format_speed_kmh(speed: Column) -> Column:
+    """km/h with one decimal, half to even of the exact binary value."""
+    exact = (speed * 3.6).cast("decimal(38,18)")
+    return F.when(speed.isNotNull(), F.bround(exact, 1).cast("decimal(20,1)").cast("string"))
+
+
+def format_minutes(seconds: Column) -> Column:
+    """m:ss of a duration, half seconds up; minutes go on beyond an hour."""
+    return format_pace(seconds)
+
+
+def format_tenths(seconds: Column) -> Column:
+    """m:ss.t, half tenths up: how rowers write the pace of 500 m."""
+    tenths = F.floor(seconds * 10 + 0.5).cast("long")
+    rest = tenths % 600
+    return F.concat(
+        F.floor(tenths / 600).cast("string"), F.lit(":"), F.lpad(F.floor(rest / 10).cast("string"), 2, "0"), F.lit("."), (rest % 10).cast("string")
+    )
+
+
+def iso_utc(seconds: Column) -> Column:
+    """yyyy-mm-ddThh:mm:ssZ of seconds since 1970, whatever the session's zone."""
+    return F.concat(iso_local(seconds), F.lit("Z"))
+
+
+def iso_local(seconds: Column) -> Column:
+    """yyyy-mm-ddThh:mm:ss of seconds since 1970 as a local clock shows them: without a zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds.cast("long"), F.lit(86400))
+    two = lambda c: F.lpad(F.floor(c).cast("long").cast("string"), 2, "0")
+    return F.concat(
+        F.lpad(F.year(day).cast("string"), 4, "0"), F.lit("-"), two(F.month(day)), F.lit("-"), two(F.dayofmonth(day)),
+        F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60),
+    )
+
+
+def may_be_fast(lat1: Column, lon1: Column, lat2: Column, lon2: Column, seconds: Column, ceiling: float) -> Column:
+    """Whether two points could be farther apart than ``ceiling`` metres a second allows: a bound by degrees, without trigonometry."""
+    return 111_320.0 * (F.abs(lat2 - lat1) + F.abs(lon2 - lon1)) > F.lit(float(ceiling)) * seconds
+
+
+def zone_bounds(text: str) -> list[float]:
+    """Bounds out of "120,140,160"; ValueError if one is no number or they don't ascend."""
+    bounds = [float(x) for x in text.split(",")]
+    if bounds != sorted(bounds):
+        raise ValueError("bounds must ascend")
+    return bounds
+
+
 def format_pace(seconds: Column) -> Column:
     """m:ss, half seconds up."""
     whole = F.floor(seconds + 0.5).cast("long")
@@ -44,20 +100,21 @@ def sentinel_to_null(raw: Column, sentinel: int, scale: float = 1.0, offset: flo
 
 
 def left_right_balance(raw: Column) -> Column:
-    """Right side's percent of an 8-bit balance; null without the right-side flag or beyond 100."""
+    """Right side's percent of an 8-bit balance, whichever side the flag names; null beyond 100."""
     percent = raw.bitwiseAND(F.lit(0x7F))
-    return F.when((raw.bitwiseAND(F.lit(0x80)) != 0) & (percent <= 100), percent)
+    return F.when(percent <= 100, F.when(raw.bitwiseAND(F.lit(0x80)) != 0, percent).otherwise(100 - percent))
 
 
-def sniff(text: Column) -> Column:
-    """What content is that isn't an activity file: gpx, tcx, html, xml, json, text or none; by its head."""
-    head = F.lower(F.ltrim(F.substring(text, 1, 512)))
+def sniff(content: Column) -> Column:
+    """What bytes (or a text) are that hold no activity: gpx, tcx, html, xml, json, text or none; by their first 512."""
+    head = F.decode(F.substring(content.cast("binary"), 1, 512), "ISO-8859-1")
+    head = F.lower(F.ltrim(head, F.lit("\u00ef\u00bb\u00bf \t\r\n")))
     return (
-        F.when(head.contains("<gpx"), "gpx")
-        .when(head.contains("<trainingcenterdatabase"), "tcx")
-        .when(head.startswith("<!doctype html") | head.contains("<html"), "html")
+        F.when(head.startswith("<") & head.contains("<gpx"), "gpx")
+        .when(head.startswith("<") & head.contains("<trainingcenterdatabase"), "tcx")
+        .when(head.startswith("<") & (head.contains("<!doctype html") | head.contains("<html")), "html")
         .when(head.startswith("<"), "xml")
         .when(head.startswith("{") | head.startswith("["), "json")
-        .when(F.char_length(head) > 0, "text")
+        .when(F.substring(head, 1, 256).rlike(r"^[\x09-\x7E]+$"), "text")
         .otherwise("none")
     )

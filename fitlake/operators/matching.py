@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def assign_sessions(records: DataFrame, sessions: DataFrame, keys: list[str], record_id: str) -> DataFrame:
     """Each record with the session that owns it: the first by number that holds its time (both ends count).
 
-    Records of no session go to the one that starts nearest, ties to the lowest number; ``inside``
-    tells the two apart. ``sessions`` has the keys, session, a and b. Keys are joined by hash, so a
-    record meets the sessions of its own series only.
+    Records of no session go to the one that starts nearest, ties to the lowest number; ``inside`` tells the
+    two apart. ``sessions`` has the keys, session, a and b, and numbers ascend with a. Records and the ends of
+    sessions are sorted by time together, so a record never meets all sessions of its series: the first session
+    that holds a time is the first whose end isn't before it, among those that end later than all before them.
     """
-    inside = F.col("t").between(F.col("a"), F.col("b"))
-    rank = F.struct(
-        (~inside).cast("int").alias("outside"),
-        F.when(inside, 0).otherwise(F.abs(F.col("t") - F.col("a"))).alias("distance"),
-        F.col("session"),
+    by_number = Window.partitionBy(*keys).orderBy("session")
+    ends = sessions.withColumn("before", F.max("b").over(by_number.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.where("b IS NOT NULL AND (before IS NULL OR b > before)").select(
+        *keys, F.col("b").alias("t"), F.lit(2).alias("side"), F.struct("session", "a").alias("end")
     )
-    best = records.select(*keys, record_id, "t").join(sessions, keys).groupBy(*keys, record_id).agg(F.min(rank).alias("best"))
-    return best.select(*keys, record_id, F.col("best.session").alias("session"), (F.col("best.outside") == 0).alias("inside"))
+    starts = sessions.groupBy(*keys, "a").agg(F.min("session").alias("session")).select(
+        *keys, F.col("a").alias("t"), F.lit(0).alias("side"), F.struct("session", "a").alias("start")
+    )
+    line = records.select(*keys, record_id, "t", F.lit(1).alias("side"))
+    line = line.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    back = Window.partitionBy(*keys).orderBy("t", "side")
+    ahead = Window.partitionBy(*keys).orderBy(F.col("t").desc(), F.col("side").desc())
+    line = line.withColumn("last_start", F.last("start", ignorenulls=True).over(back))
+    line = line.withColumns({"next_start": F.last("start", ignorenulls=True).over(ahead), "holder": F.last("end", ignorenulls=True).over(ahead)})
+    line = line.where("side = 1 AND (last_start IS NOT NULL OR next_start IS NOT NULL)")
+    inside = F.coalesce(F.col("holder.a") <= F.col("t"), F.lit(False))
+    nearer = F.col("next_start").isNull() | (F.col("t") - F.col("last_start.a") <= F.col("next_start.a") - F.col("t"))
+    nearest = F.when(F.col("last_start").isNotNull() & nearer, F.col("last_start.session")).otherwise(F.col("next_start.session"))
+    return line.select(*keys, record_id, F.when(inside, F.col("holder.session")).otherwise(nearest).alias("session"), inside.alias("inside"))
 
 
 def inside_any(records: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """The records whose time lies in any interval of their series."""
-    on = [records[k] == intervals[k] for k in keys] + [records["t"].between(intervals["a"], intervals["b"])]
-    return records.join(intervals, on, "left_semi")
+    """The records whose time lies in any interval (a to b, both included) of their series.
+
+    Records and starts are sorted by time together: a time is inside if the latest end so far isn't before it.
+    """
+    starts = intervals.select(*keys, F.col("a").alias("t"), F.lit(0).alias("side"), F.col("b").alias("end"))
+    line = records.withColumn("side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    latest = F.max("end").over(Window.partitionBy(*keys).orderBy("t", "side"))
+    return line.withColumn("end", latest).where("side = 1 AND end >= t").select(*records.columns)
 
 
 def reconcile(declared: DataFrame, derived: DataFrame, keys: list[str], fields: dict[str, tuple[float, float]]) -> DataFrame:
@@ -42,5 +59,14 @@ def reconcile(declared: DataFrame, derived: DataFrame, keys: list[str], fields:
 
 
 def remedies(findings: DataFrame, table: DataFrame) -> DataFrame:
-    """Findings with their remedies, by priority and command; a finding without one has null."""
-    return findings.join(F.broadcast(table), "code", "left")  # the table of codes is fixed and small
+    """Findings with their remedies (code, priority, command); a finding without one has null.
+
+    Where several codes of a file share a command, it is listed for each. Order by priority and command to
+    get them as they should be tried.
+    """
+    return findings.join(table, "code", "left")
+
+
+def unresolved(findings: DataFrame, table: DataFrame) -> DataFrame:
+    """The findings that no remedy covers."""
+    return findings.join(table.select("code"), "code", "left_anti")

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar, sports
 from ..operators import matching, series
+from .keep import keep
 
 PART = ["file_id", "part"]
 OWN = [*PART, "session"]
@@ -48,15 +50,24 @@ def _micros(name: str) -> Column:
     return F.get_json_object("fields", f"$.{name}").cast("long") * series.MICROS
 
 
+#: What records say, parsed once a row.
+_RECORD = "timestamp long, " + ", ".join(f"{name} double" for s in STREAMS for name in (s, f"enhanced_{s}"))
+
+
 def records(messages: DataFrame) -> DataFrame:
     """Wide records: file_id, part, i (place in the file), byte_offset, t (microseconds, null if unknown), one column a stream."""
-    rows = messages.where("global_num = 20")
+    rows = messages.where("global_num = 20").withColumn("said", F.from_json("fields", _RECORD))
     return rows.select(
-        *PART, F.col("msg_seq").alias("i"), "byte_offset", _micros("timestamp").alias("t"),
-        *(F.coalesce(_number(f"enhanced_{s}"), _number(s)).alias(s) for s in STREAMS),
+        *PART, F.col("msg_seq").alias("i"), "byte_offset", (F.col("said.timestamp") * series.MICROS).alias("t"),
+        *(F.coalesce(f"said.enhanced_{s}", f"said.{s}").alias(s) for s in STREAMS),
     )
 
 
+def sport_name(said: Column) -> Column:
+    """The name of a sport; unknown_<n> for a number that has none, unknown where nothing is said."""
+    return F.when(said.rlike("^[0-9]+$"), F.concat(F.lit("unknown_"), said)).otherwise(F.coalesce(said, F.lit("unknown")))
+
+
 def sessions(messages: DataFrame) -> DataFrame:
     """Sessions by part: session (from 0, by start, unknown starts last), a and b, sport, declared totals, rebuilt.
 
@@ -69,7 +80,7 @@ def sessions(messages: DataFrame) -> DataFrame:
     }
     held = messages.where("global_num = 18").select(
         *PART, "msg_seq", _micros("start_time").alias("a"), _micros("timestamp").alias("b"),
-        F.coalesce(F.get_json_object("fields", "$.sport"), F.lit("unknown")).alias("sport"),
+        sport_name(F.get_json_object("fields", "$.sport")).alias("sport"), F.get_json_object("fields", "$.sub_sport").alias("sub_sport"),
         F.struct(*(_number(name).alias(key) for key, name in declared.items())).alias("declared"),
     )
     first = Window.partitionBy(*PART).orderBy(F.col("a").asc_nulls_last(), "msg_seq")
@@ -81,21 +92,30 @@ def sessions(messages: DataFrame) -> DataFrame:
     return held.unionByName(bare, allowMissingColumns=True)
 
 
-def session_records(messages: DataFrame) -> DataFrame:
-    """Records with the session that owns them, and whether its time holds them."""
+def _bounds(messages: DataFrame, held: DataFrame | None) -> DataFrame:
+    held = sessions(messages) if held is None else held
+    return held.select(*PART, "session", F.coalesce("a", F.lit(10**18)).alias("a"), F.coalesce("b", "a", F.lit(10**18)).alias("b"))
+
+
+def session_records(messages: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Records with the session that owns them, and whether its time holds them. ``held`` spares making the sessions anew."""
     rows = records(messages)
-    bounds = sessions(messages).select(*PART, "session", F.coalesce("a", F.lit(10**18)).alias("a"), F.coalesce("b", "a", F.lit(10**18)).alias("b"))
-    return rows.join(matching.assign_sessions(rows, bounds, PART, "i"), [*PART, "i"])
+    return rows.join(matching.assign_sessions(rows, _bounds(messages, held), PART, "i"), [*PART, "i"])
+
 
+def kept(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, records with their owners) as written tables, for the many branches of a report."""
+    held = keep(sessions(messages), "sessions")
+    return held, keep(session_records(messages, held), "owned")
 
-def _placed(rows: DataFrame, messages: DataFrame) -> DataFrame:
+
+def _placed(rows: DataFrame, messages: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Rows (keys, i, t) with the session that owns them."""
-    bounds = sessions(messages).select(*PART, "session", F.coalesce("a", F.lit(10**18)).alias("a"), F.coalesce("b", "a", F.lit(10**18)).alias("b"))
-    owners = matching.assign_sessions(rows, bounds, PART, "i").select(*PART, "i", "session")
+    owners = matching.assign_sessions(rows, _bounds(messages, held), PART, "i").select(*PART, "i", "session")
     return rows.join(owners, [*PART, "i"])
 
 
-def laps(messages: DataFrame) -> DataFrame:
+def laps(messages: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Laps by the session that holds their start: i, t (start), end_t, elapsed_s, timer_s, distance_m, trigger, step_index, averages."""
     rows = messages.where("global_num = 19").select(
         *PART, F.col("msg_seq").alias("i"), _micros("start_time").alias("t"), _micros("timestamp").alias("end_t"),
@@ -103,17 +123,17 @@ def laps(messages: DataFrame) -> DataFrame:
         F.get_json_object("fields", "$.lap_trigger").alias("trigger"), _number("wkt_step_index").cast("int").alias("step_index"),
         *(_number(f"avg_{s}").alias(f"avg_{s}") for s in ("power", "speed", "heart_rate")),
     )
-    return _placed(rows, messages)
+    return _placed(rows, messages, held)
 
 
-def lengths(messages: DataFrame) -> DataFrame:
+def lengths(messages: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Pool lengths by session: i, t (start), end_t, elapsed_s, strokes, active (true if nothing says otherwise)."""
     rows = messages.where("global_num = 101").select(
         *PART, F.col("msg_seq").alias("i"), _micros("start_time").alias("t"), _micros("timestamp").alias("end_t"),
         _number("total_elapsed_time").alias("elapsed_s"), _number("total_strokes").alias("strokes"),
         (F.coalesce(_number("length_type"), F.lit(1.0)) == 1).alias("active"),
     )
-    return _placed(rows, messages)
+    return _placed(rows, messages, held)
 
 
 def swolf(found: DataFrame) -> DataFrame:
@@ -133,10 +153,10 @@ def _control(messages: DataFrame) -> DataFrame:
     return rows.where("t IS NOT NULL AND timer IS NOT NULL")
 
 
-def timers(owned: DataFrame, messages: DataFrame) -> DataFrame:
+def timers(owned: DataFrame, messages: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(keys, a, b) while the timer of a session ran; without events, from its first record to its last."""
     timed = owned.where("t IS NOT NULL").select(*OWN, "i", "t", F.lit(None).cast("string").alias("timer"))
-    both = timed.unionByName(_placed(_control(messages), messages).select(*OWN, "i", "t", "timer"))
+    both = timed.unionByName(_placed(_control(messages), messages, held).select(*OWN, "i", "t", "timer"))
     return series.timer_intervals(both, OWN, ORDER, F.col("timer").eqNullSafe("start"), F.col("timer").eqNullSafe("stop"))
 
 
@@ -257,8 +277,11 @@ def distance_splits(owned: DataFrame, length: float = 1000.0, pace_m: float = 10
     )
 
 
-def derived_totals(owned: DataFrame) -> DataFrame:
-    """Per session, of its records alone: elapsed time, distance (last less first), moving time, means, maxima, climb."""
+def derived_totals(owned: DataFrame, messages: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Per session, of its records alone: elapsed time, distance (last less first), moving time, means, maxima, climb.
+
+    With ``messages`` there is timer_time_s too, and only steps that begin while the timer runs are moving time.
+    """
     present = F.col("distance").isNotNull()
     aggs = [
         F.count(F.lit(1)).alias("n_records"),
@@ -267,7 +290,12 @@ def derived_totals(owned: DataFrame) -> DataFrame:
         *(f(s).alias(f"{k}_{s}") for s in ("heart_rate", "power", "speed", "cadence") for k, f in (("avg", F.avg), ("max", F.max))),
     ]
     totals = owned.groupBy(*OWN).agg(*aggs)
-    moving = series.moving_time(owned, OWN, ORDER, F.col("speed") > MOVING_MPS, STEP_CAP_S)
+    steps = series.pairwise_dt(owned, OWN, ORDER).where("dt > 0").where(F.col("speed") > MOVING_MPS).select(*OWN, "t", "dt")
+    if messages is not None:
+        running = timers(owned, messages, held)
+        steps = matching.inside_any(steps, running, OWN)
+        totals = totals.join(timer_seconds(running), OWN, "left")
+    moving = steps.groupBy(*OWN).agg(F.sum(F.least("dt", F.lit(STEP_CAP_S * series.MICROS))).alias("moving_us"))
     has_speed = F.col("max_speed").isNotNull()
     climb = series.ascent(owned, OWN, ORDER, "altitude").withColumnsRenamed({"ascent": "ascent_m", "descent": "descent_m"})
     return (
@@ -278,6 +306,16 @@ def derived_totals(owned: DataFrame) -> DataFrame:
     )
 
 
+def relative_elapsed(messages: DataFrame) -> DataFrame:
+    """Per part whose records have no absolute time: seconds between the first and the last of the device's own times.
+
+    ``messages`` has ``raw_time`` (the raw numbers of timestamps), as ``fit.relative_times`` gives.
+    """
+    held = messages.where("global_num = 20 AND raw_time IS NOT NULL").groupBy(*PART)
+    ends = held.agg(F.min_by("raw_time", "msg_seq").alias("a"), F.max_by("raw_time", "msg_seq").alias("b"), F.count(F.lit(1)).alias("n"))
+    return ends.where("n >= 2 AND b >= a").select(*PART, (F.col("b") - F.col("a")).cast("double").alias("elapsed_time_s"))
+
+
 def discrepancies(declared: DataFrame, derived: DataFrame) -> DataFrame:
     """(file_id, part, session, field, declared, derived, delta) beyond the tolerances; nothing is corrected."""
     fields = {f: t for f, t in TOLERANCES.items() if f in derived.columns}
@@ -285,7 +323,7 @@ def discrepancies(declared: DataFrame, derived: DataFrame) -> DataFrame:
     return matching.reconcile(flat, derived.select(*OWN, *fields), OWN, fields)
 
 
-def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """Gaps of 10 s and more between records, each with the first kind that fits: corruption (bytes were skipped between
     the two), manual_stop or auto_pause (the first stop that lies in it), post_timer (after the timer's last stop),
     smart_recording (to 30 s), unknown. ``files`` has the skipped bytes (``read_files``); without it none is corrupt."""
@@ -297,7 +335,7 @@ def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None)
     stops = control.where("event_type IN ('stop', 'stop_all')").select(*PART, F.col("i").alias("stop_i"), F.col("t").alias("stop_t"), "auto")
     on = [found[k] == stops[k] for k in PART] + [stops["stop_t"].between(found["t"], found["end_t"])]
     first = found.join(stops, on).groupBy(*(found[k] for k in [*OWN, "i"])).agg(F.min_by("auto", "stop_i").alias("auto"))
-    last = _placed(control.withColumnRenamed("timer", "state"), messages).groupBy(*OWN).agg(F.max_by(F.struct("state", F.col("t").alias("at")), F.struct("t", "i")).alias("last"))
+    last = _placed(control.withColumnRenamed("timer", "state"), messages, held).groupBy(*OWN).agg(F.max_by(F.struct("state", F.col("t").alias("at")), F.struct("t", "i")).alias("last"))
     found = found.join(first, [*OWN, "i"], "left").join(last, OWN, "left")
     corrupt = F.lit(False)
     if files is not None:
@@ -339,16 +377,19 @@ def report(
     """One row per session: sport, durations, distance, pace, sensors, effort, load with its basis, and what is omitted.
 
     The load comes from power and ``ftp``, else from heart rate if it covers half of the time, else there is none.
+    Pace and cadence are shown as the sport does.
     """
-    owned = session_records(messages)
-    held = sessions(messages)
-    timed = timer_seconds(timers(owned, messages))
-    joined = held.join(derived_totals(owned), OWN, "left").join(timed, OWN, "left").join(swolf(lengths(messages)), OWN, "left").join(effort(owned, max_hr, rest_hr, female), OWN, "left")
+    held, owned = kept(messages)
+    joined = held.join(derived_totals(owned, messages, held), OWN, "left").join(swolf(lengths(messages, held)), OWN, "left").join(effort(owned, max_hr, rest_hr, female), OWN, "left")
     known = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit(0.0)) for n in names))
     duration = known("timer_time_s", "elapsed_time_s", "declared.timer_time_s", "declared.elapsed_time_s")
     distance = known("distance_m", "declared.distance_m")
     pace_time = known("moving_time_s", "timer_time_s", "declared.timer_time_s", "elapsed_time_s", "declared.elapsed_time_s")
     joined = joined.withColumns({"duration_s": duration, "covered_m": distance, "pace_s_per_km": F.when(distance > 0, pace_time / distance * 1000)})
+    joined = joined.withColumn("profile", sports.profile_of(F.col("sport"), F.col("sub_sport")))
+    joined = joined.withColumn("style", sports.pace_style(F.col("profile")))
+    speed = F.when(pace_time > 0, distance / pace_time)
+    text = F.coalesce(sports.pace_text(sports.pace(speed, F.col("style")), F.col("style"), suffix=True), F.concat(scalar.format_speed_kmh(speed), F.lit(" km/h")))
     ratio = F.col("weighted_power") / F.lit(ftp).cast("double")
     by_power = F.col("duration_s") / 3600 * ratio * ratio * 100
     covered = F.least(F.lit(1.0), F.col("hr_s") / F.col("duration_s")) >= LEAST_COVERAGE
@@ -361,8 +402,10 @@ def report(
         F.when(basis.isNull(), "load: no threshold that fits the sensors"),
     ))
     return joined.select(
-        *OWN, "sport", "rebuilt", "n_records", F.bround("duration_s", 1).alias("duration_s"), "timer_time_s", "moving_time_s", "swolf",
-        F.bround("covered_m", 1).alias("distance_m"), F.bround("pace_s_per_km", 1).alias("pace_s_per_km"), "ascent_m", "descent_m",
+        *OWN, "sport", "sub_sport", "profile", "rebuilt", "n_records", F.bround("duration_s", 1).alias("duration_s"), "timer_time_s", "moving_time_s", "swolf",
+        F.bround("covered_m", 1).alias("distance_m"), F.bround("pace_s_per_km", 1).alias("pace_s_per_km"), text.alias("pace"),
+        sports.primary_signal(F.col("profile"), F.col("avg_power").isNotNull(), F.col("avg_speed").isNotNull()).alias("primary_signal"),
+        sports.cadence_display(F.col("avg_cadence"), F.col("profile")).alias("cadence"), "ascent_m", "descent_m",
         *(f"{k}_{s}" for s in ("heart_rate", "power", "speed", "cadence") for k in ("avg", "max")),
         "work_kj", "weighted_power", (F.col("weighted_power") / F.nullif(F.col("avg_power"), F.lit(0.0))).alias("variability"),
         *(f"best_{n}" for n in CURVE_S), F.coalesce(by_power, by_heart).alias("load"), basis.alias("load_basis"), missing.alias("omissions"),

@@ -330,10 +330,10 @@ def spike_gate(spark, sf_dir):
     return series.spikes(records(spark, sf_dir), KEY, ORDER, "value", 0.01).select("event_id", "spike")
 
 
-@query("""SELECT event_id, nullif(event_id % 50, 0) AS lat, CASE WHEN event_id % 50 = 0 AND event_id % 100 = 0 THEN NULL ELSE event_id % 100 END AS lon,
-  event_id % 50 = 0 AND event_id % 100 = 0 AS null_island FROM events WHERE event_id % 50 <> 0 OR event_id % 100 = 0""")
+@query("""SELECT event_id, CASE WHEN NOT bad THEN lat END AS lat, CASE WHEN NOT bad THEN lon END AS lon, bad AS null_island
+FROM (SELECT event_id, event_id % 50 AS lat, event_id % 100 AS lon, event_id % 100 = 0 AS bad FROM events)""")
 def null_island(spark, sf_dir):
-    rows = records(spark, sf_dir).withColumns({"lat": F.col("event_id") % 50, "lon": F.col("event_id") % 100}).where("lat <> 0 OR lon = 0")
+    rows = records(spark, sf_dir).withColumns({"lat": F.col("event_id") % 50, "lon": F.col("event_id") % 100})
     bad = (F.col("lat") == 0) & (F.col("lon") == 0)
     return rows.select("event_id", F.when(~bad, F.col("lat")).alias("lat"), F.when(~bad, F.col("lon")).alias("lon"), bad.alias("null_island"))
 
@@ -373,7 +373,7 @@ def accumulator_unwrap(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey & 4095 AS low, (l_partkey >> 4) & 15 AS high,
-  CASE WHEN (l_partkey & 255) >= 128 AND (l_partkey & 127) <= 100 THEN l_partkey & 127 END AS balance FROM lineitem""")
+  CASE WHEN (l_partkey & 127) <= 100 THEN CASE WHEN (l_partkey & 255) >= 128 THEN l_partkey & 127 ELSE 100 - (l_partkey & 127) END END AS balance FROM lineitem""")
 def bit_unpack(spark, sf_dir):
     raw = F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
@@ -402,9 +402,10 @@ def first_wins(spark, sf_dir):
 
 
 @query("""SELECT kind, count(*) AS n FROM (
-  SELECT CASE WHEN h LIKE '%<gpx%' THEN 'gpx' WHEN h LIKE '%<trainingcenterdatabase%' THEN 'tcx' WHEN starts_with(h, '<!doctype html') OR h LIKE '%<html%' THEN 'html'
-    WHEN starts_with(h, '<') THEN 'xml' WHEN starts_with(h, '{') OR starts_with(h, '[') THEN 'json' WHEN length(h) > 0 THEN 'text' ELSE 'none' END AS kind
-  FROM (SELECT lower(ltrim(substring(x, 1, 512))) AS h FROM (SELECT html AS x FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT text FROM benchmark)))
+  SELECT CASE WHEN starts_with(h, '<') AND h LIKE '%<gpx%' THEN 'gpx' WHEN starts_with(h, '<') AND h LIKE '%<trainingcenterdatabase%' THEN 'tcx'
+    WHEN starts_with(h, '<') AND (h LIKE '%<!doctype html%' OR h LIKE '%<html%') THEN 'html' WHEN starts_with(h, '<') THEN 'xml' WHEN starts_with(h, '{') OR starts_with(h, '[') THEN 'json'
+    WHEN regexp_full_match(substring(h, 1, 256), '[\\x09-\\x7E]+') THEN 'text' ELSE 'none' END AS kind
+  FROM (SELECT lower(ltrim(substring(x, 1, 512), ' ' || chr(9) || chr(10) || chr(13) || chr(65279))) AS h FROM (SELECT html AS x FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT text FROM benchmark)))
 GROUP BY kind""")
 def sniff(spark, sf_dir):
     texts = (
@@ -511,9 +512,14 @@ def fitness_form(spark, sf_dir):
     return out.select(F.col("day").cast("string").alias("day"), *(F.round(c, 4).alias(c) for c in ("load", "fitness", "fatigue", "form")))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, value::DOUBLE AS v, row_number() OVER ({_W}) AS n FROM {_E} WHERE value IS NOT NULL),
+r AS (SELECT user_id, n, v AS ref, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN abs(e.v - ref) >= 3 THEN e.v ELSE ref END, up + CASE WHEN e.v - ref >= 3 THEN e.v - ref ELSE 0 END, down + CASE WHEN ref - e.v >= 3 THEN ref - e.v ELSE 0 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, round(max(up), 4) AS ascent, round(max(down), 4) AS descent FROM r GROUP BY user_id""")
 def ascent_hysteresis(spark, sf_dir):
-    return series.ascent(records(spark, sf_dir), KEY, ORDER, "value")
+    found = series.ascent(records(spark, sf_dir), KEY, ORDER, "value")
+    return found.select("user_id", F.round("ascent", 4).alias("ascent"), F.round("descent", 4).alias("descent"))
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 4""")
@@ -535,10 +541,19 @@ def union_parts(spark, sf_dir):
     return a.unionByName(table(spark, sf_dir, "nation").select(F.lit("nation").alias("part"), F.col("n_name").alias("name")))
 
 
-@query("SELECT n_nationkey AS code FROM nation EXCEPT ALL SELECT DISTINCT s_nationkey FROM supplier")
+@query("""SELECT o_orderkey, o_orderstatus || '_' || o_custkey % 3 AS code FROM orders WHERE o_orderstatus || '_' || o_custkey % 3 NOT IN ('F_0', 'O_1', 'O_2')""")
 def except_codes(spark, sf_dir):
-    covered = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("code")).distinct()
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code")).exceptAll(covered)
+    """Findings that no remedy covers."""
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("_", "o_orderstatus", (F.col("o_custkey") % 3).cast("string")).alias("code"))
+    return matching.unresolved(found, spark.sql("SELECT * FROM VALUES ('F_0', 1, 'repair'), ('O_1', 2, 'edit'), ('O_2', 2, 'edit') AS t(code, priority, command)"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus || '_' || o_custkey % 3 AS code FROM orders WHERE o_orderstatus || '_' || o_custkey % 3 IN ('F_0', 'O_1', 'O_2')""")
+def repairable_codes(spark, sf_dir):
+    """Findings that some remedy covers."""
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("_", "o_orderstatus", (F.col("o_custkey") % 3).cast("string")).alias("code"))
+    known = spark.sql("SELECT * FROM VALUES ('F_0', 1, 'repair'), ('O_1', 2, 'edit'), ('O_2', 2, 'edit') AS t(code, priority, command)")
+    return matching.remedies(found, known).where("command IS NOT NULL").select("o_orderkey", "code")
 
 
 _CHECKS = {"NO_LINES": "n = 0", "HIGH_TOTAL": "o_totalprice > 200000", "NOT_FINAL": "o_orderstatus <> 'F'"}
@@ -565,6 +580,5 @@ def doctor_remedies(spark, sf_dir):
     counts = _derived(spark, sf_dir).select(F.col("k").alias("o_orderkey"), "n")
     o = table(spark, sf_dir, "orders").join(counts, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     flags = F.array_compact(F.array(*[F.when(F.expr(test), code) for code, test in _CHECKS.items()]))
-    rows = [(code, *r) for code, r in _REMEDY.items()]
-    known = spark.createDataFrame(rows, "code string, priority int, command string")
+    known = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{code}', {p}, '{verb}')" for code, (p, verb) in _REMEDY.items()) + " AS t(code, priority, command)")
     return matching.remedies(o.select("o_orderkey", F.explode(flags).alias("code")), known).select("o_orderkey", "code", "priority", "command")

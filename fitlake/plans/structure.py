@@ -232,8 +232,9 @@ def repeat_groups(found: DataFrame) -> DataFrame:
     )
 
 
-def insights(owned: DataFrame, sports: DataFrame, signal: str = "speed") -> DataFrame:
-    """(keys, code, value): splits by speed, drift of ``signal`` over heart rate, coasting on rides. ``sports`` has the keys and sport."""
+def insights(owned: DataFrame, sports: DataFrame, signal: str = "speed", repeats: DataFrame | None = None) -> DataFrame:
+    """(keys, code, value): splits by speed, drift of ``signal`` over heart rate, coasting on rides, and the repeats of
+    a session's largest group. ``sports`` has the keys and sport, ``repeats`` is that of ``repeat_groups``."""
     row = lambda df, code, value: df.select(*OWN, code.alias("code"), value.cast("double").alias("value"))
     pace = series.halves(owned, OWN, ORDER, "speed", LEAST_HALF).where("first_half > 0")
     pace = pace.withColumn("pct", (F.col("second_half") / F.col("first_half") - 1) * 100)
@@ -242,8 +243,12 @@ def insights(owned: DataFrame, sports: DataFrame, signal: str = "speed") -> Data
     rides = owned.join(sports.where("sport = 'cycling'").select(*OWN), OWN, "left_semi").groupBy(*OWN)
     rides = rides.agg(F.count("power").alias("n"), F.count_if(F.col("power") == 0).alias("zero")).where(F.col("n") >= LEAST_HALF)
     rides = rides.withColumn("pct", F.col("zero") / F.col("n") * 100).where(F.col("pct") >= COASTING_PCT)
+    told = owned.select(*OWN).limit(0).withColumn("most", F.lit(0))
+    if repeats is not None:
+        told = repeats.groupBy(*OWN).agg(F.max("n").alias("most"))
     return (
         row(pace, split, F.col("pct")).where("code IS NOT NULL")
+        .unionByName(row(told, F.lit("WORKOUT_STRUCTURE"), F.col("most")))
         .unionByName(row(drift, F.lit("HR_DRIFT_HIGH"), F.col("drift_pct")))
         .unionByName(row(rides, F.lit("COASTING_HIGH"), F.col("pct")))
     )

@@ -32,7 +32,7 @@ def test_power_counter_and_balance():
     rows = [(2**32 - 6, 0x80 | 48), (4, 48), (9, 0x80 | 110)]
     found = [m["fields"] for m in body(layout(1, 20, [(29, 4, 0x86), (30, 1, 2)]), *(b"\x01" + struct.pack("<IB", *r) for r in rows)).messages]
     assert [f["accumulated_power"] for f in found] == [2**32 - 6, 2**32 + 4, 2**32 + 9]
-    assert [f.get("right_balance_pct") for f in found] == [48, None, None]
+    assert [f.get("right_balance_pct") for f in found] == [48, 52, None]
 
 
 def test_timer_trigger_only_of_timers():
@@ -93,7 +93,7 @@ def test_profile_of_a_table():
 def test_modes(spark, tmp_path):
     whole = build(RECORDS)
     assert len(fit.parse(whole, "strict").messages) == len(fit.parse(whole, "forensic").messages) == 6
-    for bad, code in ((whole[:-1], "FILE_CRC_MISSING"), (b"no", "NOT_FIT_FORMAT"), (build([]), "FIT_NO_CONTENT")):
+    for bad, code in ((whole[:-1], "FILE_CRC_MISSING"), (b"no", "FIT_TOO_SMALL"), (build([]), "FIT_NO_CONTENT")):
         with pytest.raises(fit.StrictError) as refusal:
             fit.parse(bad, "strict")
         assert refusal.value.code == code

@@ -55,8 +55,8 @@ def test_damage_never_raises_and_is_accounted_for():
         assert found.error or found.provenance
     for at in range(0, len(whole)):
         fit.parse(whole[:at] + bytes((whole[at] ^ 0x41,)) + whole[at + 1 :])
-    assert fit.parse(b"<gpx></gpx>").error == "NOT_FIT_FORMAT"
-    assert fit.parse(b"").error == "NOT_FIT_FORMAT"
+    assert fit.parse(b'<gpx version="1.1"></gpx>').error == "NOT_FIT_FORMAT"
+    assert fit.parse(b"<gpx></gpx>").error == "FIT_TOO_SMALL" and fit.parse(b"").error == "FIT_EMPTY"
 
 
 def test_folder_to_records(spark, tmp_path):
@@ -68,3 +68,34 @@ def test_folder_to_records(spark, tmp_path):
     rows = fit.read_records(spark, str(tmp_path)).collect()
     assert len(rows) == 18 and sum(r.heart_rate is None for r in rows) == 3
     assert max(r.distance for r in rows) == 12.5
+
+
+def test_odd_headers_are_read():
+    """A missing magic is tolerated with a size in use, and an odd size with the magic."""
+    whole = build(RECORDS)
+    n = len(fit.parse(whole).messages)
+    for header in (whole[:8] + b"xxxx" + whole[12:], b"\x0c" + whole[1:12] + whole[14:], bytes((20,)) + whole[1:14] + bytes(6) + whole[14:]):
+        found = fit.parse(header)
+        assert not found.error and len(found.messages) == n
+    assert fit.parse(b"\x0c" + bytes(30)).error == "FIT_NO_CONTENT"
+    assert [fit.sniff(x) for x in (b"\xef\xbb\xbf <gpx>", b" <TrainingCenterDatabase", b"<!DOCTYPE html>", b"<x/>", b"[1]", b"plain", b"\x00")] == ["gpx", "tcx", "html", "xml", "json", "text", None]
+
+
+def test_frames_cover_every_byte():
+    whole = build(RECORDS)
+    for content in (whole, b"junk" + whole + b"tail", whole + whole, whole[:-20], whole[:60] + b"\xff" * 9 + whole[60:]):
+        held = list(fit.frames(content))
+        at = 0
+        for x in held:
+            assert x["byte_offset"] == at
+            at += x["size"]
+        assert at == len(content)
+    kinds = [x["kind"] for x in fit.frames(whole + whole)]
+    assert kinds.count("header") == kinds.count("checksum") == 2 and "skipped" not in kinds
+
+
+def test_options_of_reading():
+    found = fit.parse(build(RECORDS), include_raw=True)
+    assert all(len(m["raw"]) == len(m["wire"]["fields"]) for m in found.messages)
+    assert fit.parse(build(RECORDS)[:-40]).estimated >= 1
+    assert fit.file_type([]) == "unknown" and fit.file_type([{"global_num": 0, "part": 0, "fields": {"type": 77}}]) == "unknown_77"

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from fitlake.streaming import live
@@ -45,3 +47,20 @@ def test_sessions_by_rest(spark, tmp_path):
     stream = samples(spark, tmp_path, [[("a", k * 1_000_000, 0.0, k) for k in (0, 1, 2, 30, 31)], [("a", 9_000_000_000, 1.0, 9)], [("a", 9_900_000_000, 1.0, 9)]])
     found = live.stream_sessions(stream.withColumn("ts", F.timestamp_micros("t")), ["who"])
     assert sorted(r.n for r in drain(found, spark, "rests", tmp_path))[-2:] == [2, 3]
+
+
+def test_timer_crosses_batches(spark, tmp_path):
+    rows = [[("a", 10, 1.0, 0), ("a", 20, 1.0, 1)], [("a", 30, 0.0, 2), ("a", 40, 0.0, 3), ("a", 50, 1.0, 4)], [("a", 70, 0.0, 5), ("b", 1, 0.0, 0)]]
+    events = samples(spark, tmp_path, rows).withColumn("kind", F.when(F.col("value") > 0, "start").otherwise("stop"))
+    assert sorted((r.who, r.a, r.b) for r in drain(live.stream_timer(events, ["who"]), spark, "timer_live", tmp_path)) == [("a", 10, 30), ("a", 50, 70)]
+
+
+def test_effort_and_mean_max(spark, tmp_path):
+    stream = samples(spark, tmp_path, [[("a", k * 1_000_000, 100.0 + k, k) for k in range(6)], [("a", k * 1_000_000, 100.0 + k, k) for k in range(6, 10)], [("a", 9_000_000_000, 1.0, 99)], [("a", 19_000_000_000, 1.0, 100)]])
+    rows = drain(live.stream_effort(live.stream_steps(stream, ["who"]), ["who"], max_hr=190, rest_hr=50), spark, "effort_live", tmp_path)
+    first = next(r for r in rows if r.window.start.timestamp() == 0)
+    reserve = [(100 + k - 50) / 140 for k in range(1, 10)]
+    assert first.work_j == sum(100.0 + k for k in range(1, 10))
+    assert abs(first.trimp - sum(r * 0.64 * math.exp(1.92 * r) / 60 for r in reserve)) < 1e-9
+    best = drain(live.stream_mean_max(stream, ["who"], [1, 4]), spark, "best_live", tmp_path)
+    assert max(r.best for r in best if r.n == 4) == 107.5 and max(r.best for r in best if r.n == 1) == 109.0
