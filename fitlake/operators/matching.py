@@ -16,19 +16,22 @@ def assign_sessions(records: DataFrame, sessions: DataFrame, keys: list[str], re
     """
     by_number = Window.partitionBy(*keys).orderBy("session")
     ends = sessions.withColumn("before", F.max("b").over(by_number.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.where("b IS NOT NULL AND (before IS NULL OR b > before)").select(
-        *keys, F.col("b").alias("t"), F.lit(2).alias("side"), F.struct("session", "a").alias("end")
+    ends = ends.where("b IS NOT NULL AND (before IS NULL OR b > before)")
+    starts = sessions.groupBy(*keys, "a").agg(F.min("session").alias("session"))
+    no_record = F.lit(None).cast(records.schema[record_id].dataType).alias(record_id)
+    none = F.lit(None).cast(starts.schema["session"].dataType).alias("session")
+    line = (
+        records.select(*keys, record_id, F.col("t").cast("long"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("a"), none)
+        .unionAll(starts.select(*keys, no_record, F.col("a").cast("long").alias("t"), F.lit(0), F.col("a").cast("long"), "session"))
+        .unionAll(ends.select(*keys, no_record, F.col("b").cast("long").alias("t"), F.lit(2), F.col("a").cast("long"), "session"))
     )
-    starts = sessions.groupBy(*keys, "a").agg(F.min("session").alias("session")).select(
-        *keys, F.col("a").alias("t"), F.lit(0).alias("side"), F.struct("session", "a").alias("start")
-    )
-    line = records.select(*keys, record_id, "t", F.lit(1).alias("side"))
-    line = line.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    mark = lambda side: F.when(F.col("side") == side, F.struct("session", "a"))
     back = Window.partitionBy(*keys).orderBy("t", "side")
     ahead = Window.partitionBy(*keys).orderBy(F.col("t").desc(), F.col("side").desc())
-    line = line.withColumn("last_start", F.last("start", ignorenulls=True).over(back))
-    line = line.withColumns({"next_start": F.last("start", ignorenulls=True).over(ahead), "holder": F.last("end", ignorenulls=True).over(ahead)})
-    line = line.where("side = 1 AND (last_start IS NOT NULL OR next_start IS NOT NULL)")
+    line = line.select(
+        *keys, record_id, "t", "side", F.last(mark(0), ignorenulls=True).over(back).alias("last_start"),
+        F.last(mark(0), ignorenulls=True).over(ahead).alias("next_start"), F.last(mark(2), ignorenulls=True).over(ahead).alias("holder"),
+    ).where("side = 1 AND (last_start IS NOT NULL OR next_start IS NOT NULL)")
     inside = F.coalesce(F.col("holder.a") <= F.col("t"), F.lit(False))
     nearer = F.col("next_start").isNull() | (F.col("t") - F.col("last_start.a") <= F.col("next_start.a") - F.col("t"))
     nearest = F.when(F.col("last_start").isNotNull() & nearer, F.col("last_start.session")).otherwise(F.col("next_start.session"))

@@ -84,11 +84,11 @@ def summaries(owned: DataFrame, held: DataFrame) -> DataFrame:
 
 def laps_and_lengths(owned: DataFrame, messages: DataFrame, held: DataFrame) -> DataFrame:
     """Laps without time or that leave out much of a session; lengths too short, pools that there aren't."""
-    laps = activity.laps(messages)
+    laps = activity.laps(messages, held)
     spans = owned.groupBy(*OWN).agg(((F.max("t") - F.min("t")) / series.MICROS).alias("elapsed_s"))
     covered = laps.groupBy(*OWN).agg(F.sum(F.coalesce("elapsed_s", F.lit(0.0))).alias("covered")).join(spans, OWN)
     covered = covered.where("elapsed_s > 0").where(F.col("covered") < LEAST_LAPS * F.col("elapsed_s"))
-    lengths = activity.lengths(messages).where("active")
+    lengths = activity.lengths(messages, held).where("active")
     pools = lengths.groupBy(*OWN).agg(F.count(F.lit(1)).alias("n")).join(held.select(*OWN, "declared.distance_m"), OWN)
     pools = pools.withColumn("pool", F.col("distance_m") / F.col("n")).where(~F.col("pool").between(*POOLS_M))
     return _union([
@@ -185,7 +185,7 @@ def positions(judged: DataFrame) -> DataFrame:
 
 def findings(messages: DataFrame) -> DataFrame:
     """All findings of all parts and sessions."""
-    owned, held = activity.session_records(messages), activity.sessions(messages)
+    held, owned = activity.kept(messages)
     return _union([
         sensors(owned, held), summaries(owned, held), laps_and_lengths(owned, messages, held), parts(messages), pairs(messages),
         outside(owned, held), positions(judged_positions(owned, messages, held)),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import series
 from . import activity
 from .activity import ORDER, OWN, PART
+from .keep import keep
 
 #: Shortest work and recovery (s), fewest repeats and samples, widest spread of durations, tolerances of repeats.
 LEAST_S = {"work": 20.0, "recovery": 15.0}
@@ -129,14 +130,14 @@ def with_signal(owned: DataFrame, held: DataFrame) -> DataFrame:
     return both.withColumn("signal", F.when(F.col("signal_name") == "power", F.col("power")).otherwise(F.col("speed")))
 
 
-def lap_intervals(owned: DataFrame, messages: DataFrame, from_records: bool = False) -> DataFrame:
+def lap_intervals(owned: DataFrame, messages: DataFrame, from_records: bool = False, held: DataFrame | None = None) -> DataFrame:
     """Intervals of the sessions whose laps say the structure: a workout's steps, else two laps or more by hand.
 
     ``owned`` has signal. Intensities are the laps' own averages, or with ``from_records`` those of the records
     from a lap's start up to (not with) its end, where there are any. The kind comes from the step's intensity,
     else from the share of the reference.
     """
-    laps = activity.laps(messages)
+    laps = activity.laps(messages, held)
     basis = laps.groupBy(*OWN).agg(
         F.when(F.count("step_index") > 0, "steps:workout").when(F.count_if(F.col("trigger") == "manual") >= 2, "laps:manual").alias("basis")
     ).where("basis IS NOT NULL")
@@ -169,7 +170,7 @@ def lap_intervals(owned: DataFrame, messages: DataFrame, from_records: bool = Fa
 
 def swim_intervals(owned: DataFrame, messages: DataFrame, held: DataFrame) -> DataFrame:
     """Swims of pool sessions: active lengths with less than 10 s at the wall between them; a rest that isn't known ends a swim."""
-    lengths = activity.lengths(messages).where("active").join(held.where("sport = 'swimming'").select(*OWN, F.col("declared.distance_m").alias("said_m")), OWN)
+    lengths = activity.lengths(messages, held).where("active").join(held.where("sport = 'swimming'").select(*OWN, F.col("declared.distance_m").alias("said_m")), OWN)
     pool = messages.where("global_num = 18").select(*PART, "msg_seq", F.get_json_object("fields", "$.pool_length").cast("double").alias("pool"))
     pool = pool.where("pool > 0").groupBy(*PART).agg(F.min_by("pool", "msg_seq").alias("pool"))
     swum = activity.derived_totals(owned).select(*OWN, F.col("distance_m").alias("swum_m"))
@@ -195,11 +196,11 @@ def swim_intervals(owned: DataFrame, messages: DataFrame, held: DataFrame) -> Da
 def structure(messages: DataFrame, from_records: bool = False) -> DataFrame:
     """One row per interval of each session with a structure, by the best evidence there is: laps (of a workout's
     steps, or by hand), swims of a pool, else bands of power or speed. ``basis`` names it. Sessions without have no rows."""
-    held = activity.sessions(messages)
-    owned = with_signal(activity.session_records(messages), held)
-    told = lap_intervals(owned, messages, from_records)
+    held, owned = activity.kept(messages)
+    owned = with_signal(owned, held)
+    told = keep(lap_intervals(owned, messages, from_records, held), "laps")
     swims = swim_intervals(owned, messages, held).join(told.select(*OWN).distinct(), OWN, "left_anti")
-    told = told.unionByName(swims)
+    told = keep(told.unionByName(swims), "told")
     silent = owned.join(told.select(*OWN).distinct(), OWN, "left_anti")
     named = silent.select(*OWN, F.concat(F.lit("detected:"), "signal_name", F.lit("-steps")).alias("basis")).distinct()
     found = intervals(silent, "signal").join(named, OWN).select(
