@@ -56,7 +56,7 @@ def test_ngram_join_is_brute_force(spark, words, percent, chunk):
         assert (r.n_shingles, r.component_id) == (len(sets[r.id]), expected[r.id])
 
 
-@pytest.mark.parametrize(("percent", "node_sets", "max_common"), [(80, 3, 1 << 18), (80, 3, 5), (90, 8, 0), (50, 4, 100), (100, 2, 9)])
+@pytest.mark.parametrize(("percent", "node_sets", "max_common"), [(80, 3, 5), (90, 8, 0), (50, 4, 100)])
 def test_ngram_join_of_crowds_is_brute_force(spark, monkeypatch, percent, node_sets, max_common):
     """Crowds of texts that share more or less of a template, of all sizes, with nodes that overflow."""
     monkeypatch.setattr(ngram_join, "NODE_SETS", node_sets)
@@ -75,16 +75,15 @@ def test_ngram_join_of_crowds_is_brute_force(spark, monkeypatch, percent, node_s
         (i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
     ]
     expected = components(sets, links)
-    for chunk in (250_000, 400):
-        found = ngram_join.link_components(docs, words=1, percent=percent, chunk_shingles=chunk).collect()
-        assert {r.id: r.component_id for r in found} == expected
+    found = ngram_join.link_components(docs, words=1, percent=percent, chunk_shingles=400).collect()
+    assert {r.id: r.component_id for r in found} == expected
 
 
 def test_templates_send_no_text(spark):
     """Texts that share 60 % of their words, and don't link, are ruled out before any text moves, in any number."""
     rng = np.random.default_rng(4)
     template = [f"t{j}" for j in range(300)]
-    for n in (300, 1200):
+    for n in (200, 800):
         texts = [" ".join(template[:180] + [f"o{x}" for x in rng.integers(1 << 40, size=120)]) for _ in range(n)]
         docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text", F.encode("text", "UTF-8"))
         base = ngram_join._sets(docs, 5, 80, ngram_join._common_tokens(docs, 5))
