@@ -225,6 +225,40 @@ def test_classifier_edges(spark):
         quality_model.SEGMENT_CHUNKS = old
 
 
+def test_classifier_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "good text"), (1, "good text"), (2, "bad"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 0), (2, 1), (1, 1), (1, 1), (None, 0)], "doc_id long, quality int")
+    network = quality_model.train(docs, labels)  # the label of 2 contradicts itself: one kind is left
+    assert len({r.score for r in quality_model.score_texts(docs, network).collect()}) == 1
+    assert quality_model.score_texts(docs.limit(0), quality_model.train(docs.limit(0), labels.limit(0))).count() == 0
+    scored = quality_model.score_texts(docs.withColumn("score", F.lit("clash")), network)
+    assert scored.columns == ["doc_id", "text", "score"] and scored.count() == 4
+
+
+def test_embeddings_that_share_an_id(spark):
+    """Rows of one id and other vectors are one node: what links with one links with all."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_embeddings(df).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_pipeline_of_odd_documents(spark):
+    """Null and empty texts go with the rules; repeated rows, null ids and an empty table are no trouble."""
+    sound = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, None, "a"), (2, "", "a"), (3, sound, "a"), (3, sound, "a"), (None, sound + " x", None), (4, sound + "\n" + sound[::-1], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "quality classifier":
+                continue  # what it keeps depends on what it learned
+            kept = stage(spark, kept, SF)
+            assert name == "best-fit packing" or kept.columns == docs.columns
+        ids = [r.doc_id for r in kept.select("doc_id").distinct().collect()]
+        assert (set(ids) <= {3, 4, None} and 3 in ids) if table is docs else not ids
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs

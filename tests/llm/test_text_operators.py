@@ -237,3 +237,53 @@ def test_sha_columns(spark):
     ids = bpe.encoder().encode(text)
     assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and row.n_tokens == len(ids)
+
+
+def test_bpe_query_equals_the_library_on_the_whole_table(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    rows = bpe.op6_bpe(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = whole.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), digest(",".join(map(str, ids))))
+        assert r.decoded_sha256 == digest(whole.decode(ids, skip_special_tokens=False))
+
+
+def test_packing_query_on_the_whole_table(spark):
+    """Every document's tokens, once and whole; sequences without gaps, and hardly more than there must be."""
+    coder = bpe.encoder()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = packing.op10_packing(spark, SF).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert by_doc.keys() == docs.keys()
+    for doc, own in by_doc.items():
+        ids = np.array([*coder.encode(docs[doc]), 2], "<u4")
+        at = 0
+        for k, r in enumerate(sorted(own, key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (k, at) and (k == 0 or r.length == 1024)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for held in by_sequence.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert len(by_sequence) <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark, edge_docs):
+    rows = packing.pack_documents(edge_docs).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in edge_docs.collect()}
+    places = [(r.sequence_id, r.offset) for r in rows]
+    assert len(set(places)) == len(places) and sum(r.doc_id == 1 for r in rows) == 2
+    assert rows[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
