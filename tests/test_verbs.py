@@ -132,3 +132,43 @@ def test_canonical_text():
     for bad in (float("inf"), 1 << 60):
         with pytest.raises(ValueError):
             canonical.dumps(bad)
+
+
+def test_trim_keeps_several_sessions():
+    records = [synthesize("record", {"timestamp": START + i, "heart_rate": 100 + i, "distance": i * 2}) for i in range(60)]
+    session = lambda a, b, sport: synthesize("session", {"timestamp": START + b, "start_time": START + a, "sport": sport, "total_elapsed_time": b - a})
+    content = encode([synthesize("file_id", {"type": "activity", "time_created": START}), *records, session(0, 19, "running"), session(20, 39, "cycling"), session(40, 59, "swimming")])
+    held = fields(verbs.trim(content, START + 10, START + 29), "session")
+    assert [(x["sport"], x["start_time"] - START, x["timestamp"] - START, x["total_distance"]) for x in held] == [("running", 10, 19, 18.0), ("cycling", 20, 29, 18.0)]
+    assert fields(verbs.trim(content, START + 10, START + 29), "activity")[0]["num_sessions"] == 2
+
+
+def test_chained_parts_stay_parts():
+    chained = activity() + activity(50.0)
+    for changed in (verbs.edit(chained, sport="rowing"), verbs.scrub(chained), verbs.repair(chained), verbs.trim(chained, after=START + 1)):
+        found = fit.parse(changed)
+        assert found.parts == 2 and not found.provenance
+        assert [m["part"] for m in found.messages if m["name"] == "session"] == [0, 1]
+
+
+def test_what_is_removed_and_what_stays_unresolved():
+    counts = verbs.removed(activity(), gps="all")
+    assert counts == {"identity": 1, "serials": 1, "body_metrics": 0, "location": 6}
+    assert verbs.clean_categories(activity()) == ["body_metrics"] and "identity" in verbs.clean_categories(verbs.scrub(activity()))
+    assert verbs.diagnosis(activity(), "garmin-connect") == {"will_upload": True, "blocking": [], "advisory": [], "unresolved": []}
+    bad = verbs.diagnosis(encode([synthesize("file_id", {"type": "course", "time_created": START, "manufacturer": 1})]), "garmin-connect")
+    assert not bad["will_upload"] and bad["unresolved"] == ["VAL_GC_NOT_ACTIVITY"]
+
+
+def test_texts(tmp_path, capsys):
+    from fitlake import cli, texts
+
+    path = tmp_path / "a.fit"
+    path.write_bytes(activity())
+    assert cli.main(["parse", str(path), "--summary"]) == 0 and "6 record" in capsys.readouterr().out
+    assert cli.main(["reveal", str(path), "--text"]) == 0 and "serials file_id serial_number 1" in capsys.readouterr().out
+    assert cli.main(["parse", str(path), "--no-unknown", "--include-raw", "--strip-pii"]) == 0
+    told = capsys.readouterr().out
+    assert '"raw":' in told and "PII_STRIPPED" in told and "Ada" not in told
+    assert texts.clock(59.5) == "1:00" and texts.clock(3661) == "1:01:01" and texts.findings([]) == "nothing"
+    assert texts.analysis({"sessions": []}) == "no sessions"
