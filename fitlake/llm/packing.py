@@ -78,13 +78,22 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, total, capacity)]
 
 
+def _decoded(texts: pa.Array) -> list[str]:
+    """Texts as str, null as empty. Bytes that are not UTF-8 become U+FFFD; Spark hands them on as they are."""
+    try:
+        return [x or "" for x in texts.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "" for x in texts]
+
+
 def token_pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every piece of every row's tokens and their end.
 
-    Null text is empty: one piece that holds the end alone. Rows that repeat an id are documents of
-    their own, and null ids stay null. Other columns are not read.
+    Null text is empty: one piece that holds the end alone. Bytes of a text that are not UTF-8 are
+    encoded as U+FFFD. Rows that repeat an id are documents of their own, and null ids stay null.
+    Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +102,7 @@ def token_pieces(
             for batch in slices(whole):
                 rows = []
                 for doc, ids in zip(
-                    batch["id"].to_pylist(), coder.encode_batch([x or "" for x in batch["text"].to_pylist()]), strict=True
+                    batch["id"].to_pylist(), coder.encode_batch(_decoded(batch["text"])), strict=True
                 ):
                     tokens = np.array([*ids, end_id], "<u4")
                     for k, (start, length) in enumerate(cut(len(tokens), capacity)):

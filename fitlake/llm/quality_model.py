@@ -142,12 +142,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _training_chunks(text: str | None) -> list[bytes]:
-    data = (text or "").encode()
-    starts = chunk_starts(len(data))
+def _bytes_of(texts: pa.Array) -> Iterator[bytes | pa.Buffer]:
+    """The bytes of each text as they are, also where they are not UTF-8; none for null."""
+    return (x.as_buffer() if x.is_valid else b"" for x in texts)
+
+
+def _training_chunks(text: bytes | pa.Buffer) -> list[bytes]:
+    starts = chunk_starts(len(text))
     if len(starts) > MAX_TRAINING_CHUNKS:
         starts = starts[np.linspace(0, len(starts) - 1, MAX_TRAINING_CHUNKS).round().astype(int)]
-    return [data[s : s + CHUNK_BYTES] for s in starts]
+    return [bytes(text[s : s + CHUNK_BYTES]) for s in starts]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Network:
@@ -169,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = [_training_chunks(x) for x in batch["text"].to_pylist()]
+            chunks = [_training_chunks(x) for x in _bytes_of(batch["text"])]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["quality"], pa.array(chunks, pa.list_(pa.binary()))], names=["id", "quality", "chunks"]
             )
@@ -193,7 +197,7 @@ def score_texts(docs: DataFrame, network: Network) -> DataFrame:
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = network.pair_tables()
         for batch in texts:
-            yield pa.array((network.score(x.as_buffer() if x.is_valid else b"", tables) for x in batch), pa.float64())
+            yield pa.array((network.score(x, tables) for x in _bytes_of(batch)), pa.float64())
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
 

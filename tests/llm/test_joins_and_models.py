@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fitlake.llm import embedding_dedup, ngram_join, quality_model, scratch, warc
+from fitlake.llm import embedding_dedup, ngram_join, packing, quality_model, scratch, warc
 from fitlake.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -270,3 +270,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == ids
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     assert ids & good
+
+
+def test_pipeline_of_texts_that_are_not_utf8(spark, tmp_path):
+    """Spark hands bytes that are not UTF-8 on as they are; no stage fails on them, and no document is lost."""
+    texts = {i: " ".join(f"word{i}x{j}" for j in range(80)).encode() + (b" \xc3 \xff\xed\xa0\x80 end" if i % 2 else b"") for i in range(12)}
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in texts.items()], "doc_id long, text binary")
+    docs = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.lit("a").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1) for i in texts], "doc_id long, quality int")  # one kind: all score alike
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    plain = spark.createDataFrame([(i, x.decode("utf-8", "replace")) for i, x in texts.items()], "doc_id long, text string")
+    wanted = {(r.id, r.piece, r.length, r.ids_crc32) for r in packing.token_pieces(plain).collect()}
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed} == wanted
+    # Learning reads the bytes themselves, of more than one kind of label too.
+    network = quality_model.train(docs, labels.withColumn("quality", (F.col("doc_id") % 3 == 0).cast("int")))
+    assert len({r.score for r in quality_model.score_texts(docs, network).collect()}) == len(texts)
