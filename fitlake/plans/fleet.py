@@ -11,9 +11,12 @@ import gzip
 import io
 import struct
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from .queries import query, table
 #: Seconds of the first record, between records, of a stop before an error, of a pause before a signup.
 T0, STEP_S, STOP_S, PAUSE_S = 1_700_000_000, 4, 43, 16
 LAP_RECORDS = 20
+#: Bytes of files that go on together, and tasks for each core that make files: their times differ.
+FILES_BYTES, TASKS_PER_CORE = 4 << 20, 3
 ZONES = (110, 130, 150)
 
 #: The records of all oracles.
@@ -45,7 +50,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as records, with whole seconds as t."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     i = F.col("event_id")
-    df = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w))
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    df = table(spark, sf_dir, "events").repartition(tasks, "user_id").withColumn("n", F.row_number().over(w))
     for name, kind in (("k", "error"), ("s", "signup")):
         df = df.withColumn(name, F.sum((F.col("event_type") == kind).cast("int")).over(w))
     power = F.when(F.floor(F.col("n") / 8) % 2 == 1, 300).otherwise(120) + i % 10
@@ -56,23 +62,56 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _files(found: DataFrame, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+class Event(NamedTuple):
+    """A row of ``rows``."""
+
+    user_id: int
+    event_id: int
+    event_type: str
+    n: int
+    t: int
+    hr: int | None
+    power: int | None
+    speed: int
+    distance: int
+    altitude: int
+    cadence: int
+
+
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[Event]:
+    for batch in batches:
+        yield from map(Event._make, zip(*(column.to_pylist() for column in batch.columns), strict=True))
+
+
+def _files(found: DataFrame, build: Callable[[list[Event]], bytes]) -> DataFrame:
     """(file_id, content) of each user's file."""
 
-    def run(user: pd.DataFrame) -> pd.DataFrame:
-        ordered = user.sort_values("n")
-        return pd.DataFrame([{"file_id": str(ordered["user_id"].iloc[0]), "content": build(ordered)}])
+    def batch_of(ids: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(contents, pa.binary())], names=["file_id", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, contents, size = [], [], 0
+        for user_id, user in groupby(_events(batches), key=lambda x: x.user_id):
+            ids.append(str(user_id))
+            contents.append(build(list(user)))
+            size += len(contents[-1])
+            if size >= FILES_BYTES:
+                yield batch_of(ids, contents)
+                ids, contents, size = [], [], 0
+        if ids:
+            yield batch_of(ids, contents)
 
-    return found.groupBy("user_id").applyInPandas(run, "file_id string, content binary")
+    # A user's rows lie in one partition, see rows(); sorted there, they come one user after the other.
+    return found.select(*Event._fields).sortWithinPartitions("user_id", "n").mapInArrow(run, "file_id string, content binary")
 
 
 def _timer(t: int, kind: str, data: int | None = None) -> dict:
     return synthesize("event", {"timestamp": t, "event": "timer", "event_type": kind, "data": data})
 
 
-def workout(user: pd.DataFrame) -> bytes:
+def workout(user: list[Event]) -> bytes:
     """A file with records, laps, a session that says more distance than there is, zones, and stops before errors."""
-    t, uid = user["t"].tolist(), int(user["user_id"].iloc[0])
+    t, uid = [x.t for x in user], user[0].user_id
     span, metres = t[-1] - t[0], 3 * (len(t) - 1)
     maker = {"type": "activity", "time_created": t[0], "manufacturer": 1, "product": uid % 50, "serial_number": 1000 + uid}
     out = [synthesize("file_id", maker)]
@@ -80,11 +119,11 @@ def workout(user: pd.DataFrame) -> bytes:
     out += [synthesize("hr_zone", {"message_index": k, "high_bpm": bound}) for k, bound in enumerate(ZONES)]
     out.append(_timer(t[0], "start"))
     before = None
-    for x in user.itertuples():
+    for x in user:
         if before is not None and x.event_type == "error" and x.event_id % 4 != 3:
             out += [_timer(before + 1, "stop_all", 1 if x.event_id % 4 == 1 else 0), _timer(x.t, "start")]
         values = {"timestamp": x.t, "heart_rate": x.hr, "power": x.power, "speed": x.speed / 1000, "distance": x.distance, "altitude": x.altitude, "cadence": x.cadence}
-        out.append(synthesize("record", {k: None if v != v else v if k == "speed" else int(v) for k, v in values.items()}))
+        out.append(synthesize("record", values))
         before = x.t
     for k, at in enumerate(range(0, len(t), LAP_RECORDS)):
         held = t[at : at + LAP_RECORDS]
@@ -99,28 +138,36 @@ def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(rows(spark, sf_dir), workout)
 
 
-#: The tables of each fleet, written once in an application: messages, sessions, records with their owners.
-_WRITTEN: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+#: The tables of each fleet, written once in an application, each when it is first asked for: messages, sessions, records with their owners.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    key = spark.sparkContext.applicationId, sf_dir
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _WRITTEN:
-        found = keep(fit.messages_of(workouts(spark, sf_dir)), "messages")
-        _WRITTEN[key] = found, *activity.kept(found)
+        _WRITTEN[key] = keep(make(), name)
     return _WRITTEN[key]
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fleet(spark, sf_dir)[0]
+    return _written(spark, sf_dir, "messages", lambda: fit.messages_of(workouts(spark, sf_dir)))
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fleet(spark, sf_dir)[1]
+    return _written(spark, sf_dir, "sessions", lambda: activity.sessions(messages(spark, sf_dir)))
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fleet(spark, sf_dir)[2]
+    return _written(spark, sf_dir, "owned", lambda: activity.session_records(messages(spark, sf_dir), _held(spark, sf_dir)))
+
+
+def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return messages(spark, sf_dir), _held(spark, sf_dir), _owned(spark, sf_dir)
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of the files of pool lengths, which queries read several times."""
+    return _written(spark, sf_dir, "pool", lambda: fit.messages_of(_files(rows(spark, sf_dir), swim)))
 
 
 def _user() -> Column:
@@ -345,14 +392,14 @@ def fit_documents(spark, sf_dir):
 # Pools.
 
 
-def swim(user: pd.DataFrame) -> bytes:
+def swim(user: list[Event]) -> bytes:
     """A file of pool lengths, with a rest of 15 s before an error and 2 s before others."""
     at, out = T0, []
-    for x in user.itertuples():
+    for x in user:
         at += 15 if x.event_type == "error" else 2
         elapsed = 20 + x.event_id % 10 + 0.5 * (x.event_id % 2)
         end = at + 20 + x.event_id % 10
-        out.append(synthesize("length", {"timestamp": end, "message_index": int(x.n) - 1, "start_time": at, "total_elapsed_time": elapsed, "total_strokes": 10 + x.event_id % 8, "length_type": int(x.event_id % 9 != 0)}))
+        out.append(synthesize("length", {"timestamp": end, "message_index": x.n - 1, "start_time": at, "total_elapsed_time": elapsed, "total_strokes": 10 + x.event_id % 8, "length_type": int(x.event_id % 9 != 0)}))
         at = end
     total = synthesize("session", {"timestamp": at, "start_time": T0, "sport": "swimming", "total_elapsed_time": at - T0, "total_distance": 25 * len(user), "pool_length": 25})
     return encode([synthesize("file_id", {"type": "activity", "time_created": T0}), *out, total])
@@ -364,7 +411,7 @@ _SWIM = f"""(SELECT *, {T0} + sum(gap + secs) OVER (PARTITION BY user_id ORDER B
 
 @query(f"SELECT user_id, round(avg(round_even(strokes + elapsed, 0)), 6) AS swolf FROM {_SWIM} WHERE active GROUP BY user_id")
 def fit_swolf(spark, sf_dir):
-    found = activity.swolf(activity.lengths(fit.messages_of(_files(rows(spark, sf_dir), swim))))
+    found = activity.swolf(activity.lengths(_pool(spark, sf_dir)))
     return found.select(_user(), F.round("swolf", 6).alias("swolf"))
 
 
@@ -373,9 +420,9 @@ def fit_swolf(spark, sf_dir):
     SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY n) AS p FROM {_SWIM} WHERE active)) GROUP BY user_id, s""")
 def fit_swims(spark, sf_dir):
     """Swims of a pool: a rest of 10 s at the wall ends one, and so does a length that isn't active, if it is long enough."""
-    found = fit.messages_of(_files(rows(spark, sf_dir), swim))
-    held = activity.sessions(found)
-    out = structure.swim_intervals(structure.with_signal(activity.session_records(found), held), found, held)
+    found = _pool(spark, sf_dir)
+    held = _written(spark, sf_dir, "pool_sessions", lambda: activity.sessions(found))
+    out = structure.swim_intervals(structure.with_signal(activity.session_records(found, held), held), found, held)
     return out.select(_user(), F.col("place").cast("long").alias("place"), "lengths", "duration_s", "distance_m")
 
 
@@ -395,7 +442,7 @@ def layout(local: int, number: int, fields: list[tuple[int, int, int]], develope
     return out + (bytes((len(developer),)) + b"".join(map(bytes, developer)) if developer else b"")
 
 
-def wire_messages(spark: SparkSession, sf_dir: str, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+def wire_messages(spark: SparkSession, sf_dir: str, build: Callable[[list[Event]], bytes]) -> DataFrame:
     return fit.messages_of(_files(rows(spark, sf_dir), lambda user: whole(build(user))))
 
 
@@ -403,9 +450,9 @@ def _field(name: str) -> Column:
     return F.get_json_object("fields", f"$.{name}")
 
 
-def _compressed(user: pd.DataFrame) -> bytes:
+def _compressed(user: list[Event]) -> bytes:
     out, t = [layout(0, 20, [(253, 4, 0x86)]), layout(1, 20, [(3, 1, 2)]), b"\0" + struct.pack("<I", T0 - fit.EPOCH_OFFSET)], T0 - fit.EPOCH_OFFSET
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         t += 1 + i % 31
         out.append(bytes((0x80 | 1 << 5 | t & 31, 60 + i % 100)))
     return b"".join(out)
@@ -418,9 +465,9 @@ def fit_compressed_times(spark, sf_dir):
     return found.select(_user(), _field("timestamp").cast("long").alias("t"), _field("heart_rate").cast("long").alias("heart_rate"))
 
 
-def _low_times(user: pd.DataFrame) -> bytes:
+def _low_times(user: list[Event]) -> bytes:
     out, t = [layout(0, 55, [(253, 4, 0x86)]), layout(1, 55, [(26, 2, 0x84), (24, 1, 0x0D)]), b"\0" + struct.pack("<I", T0 - fit.EPOCH_OFFSET)], T0 - fit.EPOCH_OFFSET
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         t += i * 37 % 60_000
         out.append(b"\1" + struct.pack("<HB", t & 0xFFFF, i % 255))
     return b"".join(out)
@@ -433,9 +480,9 @@ def fit_low_times(spark, sf_dir):
     return found.select(_user(), _field("timestamp").cast("long").alias("t"), _field("activity_type").cast("long").alias("activity_type"), _field("intensity").cast("long").alias("intensity"))
 
 
-def _shared_bytes(user: pd.DataFrame) -> bytes:
+def _shared_bytes(user: list[Event]) -> bytes:
     out, rolled, power = [layout(0, 20, [(8, 3, 0x0D), (29, 4, 0x86), (30, 1, 2)])], 0, 4_294_960_000
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         rolled, power = rolled + 1 + i % 3000, power + i % 1000
         out.append(b"\0" + (i % 4095 | (rolled & 0xFFF) << 12).to_bytes(3, "little") + struct.pack("<IB", power % 2**32 if power % 2**32 != 2**32 - 1 else 0, i % 255))
     return b"".join(out)
@@ -450,9 +497,9 @@ def fit_shared_bytes(spark, sf_dir):
     return found.select(_user(), (F.col("msg_seq") + 1).alias("n"), _field("speed").cast("double").alias("speed"), _field("distance").cast("double").alias("distance"), _field("accumulated_power").cast("long").alias("power"), _field("right_balance_pct").cast("double").alias("right_pct"))
 
 
-def _beats(user: pd.DataFrame) -> bytes:
+def _beats(user: list[Event]) -> bytes:
     out, ticks = [layout(0, 132, [(9, 4, 0x86)]), layout(1, 132, [(10, 3, 0x0D)]), b"\0" + struct.pack("<I", 5000)], 5000
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         first = ticks + 1 + i % 500
         ticks = first + 1 + i % 400
         out.append(b"\1" + (first & 0xFFF | (ticks & 0xFFF) << 12).to_bytes(3, "little"))
@@ -469,10 +516,10 @@ def fit_beats(spark, sf_dir):
     return found.select(_user(), F.col("msg_seq").alias("n"), F.size(times).alias("beats"), F.aggregate(times, F.lit(0.0), lambda acc, x: acc + x).alias("total_s"))
 
 
-def _odd_fields(user: pd.DataFrame) -> bytes:
+def _odd_fields(user: list[Event]) -> bytes:
     """Fields of all base types, absent ones, arrays, texts, and fields whose type or size makes no sense."""
     out = [layout(0, 65_000, [(0, 1, 0x01), (1, 2, 0x83), (2, 4, 0x85), (3, 8, 0x8E), (4, 8, 0x8F), (5, 1, 0x0A), (6, 4, 0x88), (7, 8, 0x89), (8, 8, 0x07), (9, 2, 0x0D), (10, 6, 0x84), (11, 3, 0x84), (12, 2, 0x33)], big=True)]
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         ints = struct.pack(">bhiqQB", 127 if i % 5 == 0 else -(i % 100), 0x7FFF if i % 5 == 1 else -i % 1000, 0x7FFFFFFF if i % 5 == 2 else -i, 2**63 - 1 if i % 5 == 3 else -i * 10**9, 2**64 - 1 if i % 5 == 4 else i * 10**9, i % 7)
         floats = struct.pack(">fd", float("nan") if i % 3 == 0 else i % 1000 + 0.5, float("inf") if i % 3 == 1 else i + 0.25)
         text = b"" if i % 4 == 0 else b"a\0b" if i % 4 == 1 else f"x{i % 1000}".encode()
@@ -497,13 +544,13 @@ def fit_odd_fields(spark, sf_dir):
     )
 
 
-def _developer(user: pd.DataFrame) -> bytes:
+def _developer(user: list[Event]) -> bytes:
     """Developer fields: of a known vendor, of another, described late, and never."""
     described = lambda index, num, base, name, scale: b"\2" + bytes((index, num, base, scale)) + name.encode().ljust(24, b"\0")
     out = [layout(1, 207, [(3, 1, 2), (2, 2, 0x84)]), b"\1" + struct.pack("<BH", 0, 95), b"\1" + struct.pack("<BH", 1, 9999)]
     out += [layout(2, 206, [(0, 1, 2), (1, 1, 2), (2, 1, 2), (6, 1, 2), (3, 24, 7)]), described(0, 0, 0x84, "Power", 1), described(1, 0, 0x02, "My Field!", 10)]
     out.append(layout(3, 20, [(253, 4, 0x86)], [(0, 2, 0), (0, 1, 1), (1, 1, 1), (2, 2, 1)]))
-    for i in user["event_id"].tolist():
+    for i in (x.event_id for x in user):
         out.append(b"\3" + struct.pack("<IHBBH", T0 - fit.EPOCH_OFFSET + i, i % 1000, i % 255, i % 200, i % 500))
     out.append(described(1, 1, 0x02, "late", 1))
     return b"".join(out)
@@ -523,8 +570,8 @@ def fit_developer_fields(spark, sf_dir):
 # Damage.
 
 
-def _damaged(user: pd.DataFrame) -> bytes:
-    sound, kind = workout(user), int(user["user_id"].iloc[0]) % 10
+def _damaged(user: list[Event]) -> bytes:
+    sound, kind = workout(user), user[0].user_id % 10
     if kind == 1:
         return sound[:-1]
     if kind == 2:
@@ -668,7 +715,7 @@ def fit_validated(spark, sf_dir):
     return _told(_files(rows(spark, sf_dir), _without_summary), tell, "user_id long, level string, code string")
 
 
-def _without_summary(user: pd.DataFrame) -> bytes:
+def _without_summary(user: list[Event]) -> bytes:
     kept = [m for m in fit.parse(workout(user)).messages if m["global_num"] in (20, 21)]
     return encode(kept)[:-7]
 
