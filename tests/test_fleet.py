@@ -42,7 +42,7 @@ def test_two_times_in_a_message():
 
 def test_pool_is_read_from_a_table(spark):
     """Files of pools are made and read once, however often the plan of a query names them."""
-    for name in ("fit_swims",):
+    for name in ("fit_swims", "fit_swolf"):
         plan = plan_of(getattr(fleet, name)(spark, SF))
         assert "MapIn" not in plan and "FlatMapGroups" not in plan
 
