@@ -467,9 +467,11 @@ def fit_compressed_times(spark, sf_dir):
 
 def _low_times(user: list[Event]) -> bytes:
     out, t = [layout(0, 55, [(253, 4, 0x86)]), layout(1, 55, [(26, 2, 0x84), (24, 1, 0x0D)]), b"\0" + struct.pack("<I", T0 - fit.EPOCH_OFFSET)], T0 - fit.EPOCH_OFFSET
+    out.append(layout(2, 55, [(253, 4, 0x86), (24, 1, 0x0D)]))
     for i in (x.event_id for x in user):
         t += i * 37 % 60_000
-        out.append(b"\1" + struct.pack("<HB", t & 0xFFFF, i % 255))
+        # A low half of only ones would be absent, so such a time is written whole.
+        out.append(b"\2" + struct.pack("<IB", t, i % 255) if t & 0xFFFF == 0xFFFF else b"\1" + struct.pack("<HB", t & 0xFFFF, i % 255))
     return b"".join(out)
 
 

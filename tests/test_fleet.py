@@ -58,3 +58,13 @@ def test_files_of_several_users_share_a_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {int(r.file_id): sum(m["global_num"] == 20 for m in fit.parse(bytes(r.content)).messages) for r in files} == wanted
     assert len(files) == len(wanted)
+
+
+def test_low_times_that_look_absent():
+    """A low half of only ones can't be written as such."""
+    first = (0xFFFF - (fleet.T0 - fit.EPOCH_OFFSET)) % 65536
+    steps = [first, 59_990, 17]
+    ids = [next(i for i in range(60_000) if i * 37 % 60_000 == step) for step in steps]
+    found = fit.parse(fleet.whole(fleet._low_times([event(i, n) for n, i in enumerate(ids, 1)]))).messages[1:]
+    assert [m["fields"]["timestamp"] - fleet.T0 for m in found] == [first, first + 59_990, first + 60_007]
+    assert [m["fields"]["activity_type"] for m in found] == [i % 255 & 31 for i in ids]
