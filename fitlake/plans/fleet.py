@@ -483,10 +483,12 @@ def fit_low_times(spark, sf_dir):
 
 
 def _shared_bytes(user: list[Event]) -> bytes:
-    out, rolled, power = [layout(0, 20, [(8, 3, 0x0D), (29, 4, 0x86), (30, 1, 2)])], 0, 4_294_960_000
+    out, rolled, power = [layout(k, 20, [(8, 3, 0x0D), (29, size, base), (30, 1, 2)]) for k, size, base in ((0, 4, 0x86), (1, 8, 0x8F))], 0, 4_294_960_000
     for i in (x.event_id for x in user):
         rolled, power = rolled + 1 + i % 3000, power + i % 1000
-        out.append(b"\0" + (i % 4095 | (rolled & 0xFFF) << 12).to_bytes(3, "little") + struct.pack("<IB", power % 2**32 if power % 2**32 != 2**32 - 1 else 0, i % 255))
+        # A counter of only ones would be absent in four bytes, so it is written in eight.
+        low, wide = power % 2**32, power % 2**32 == 2**32 - 1
+        out.append(bytes((wide,)) + (i % 4095 | (rolled & 0xFFF) << 12).to_bytes(3, "little") + struct.pack("<QB" if wide else "<IB", low, i % 255))
     return b"".join(out)
 
 

@@ -68,3 +68,12 @@ def test_low_times_that_look_absent():
     found = fit.parse(fleet.whole(fleet._low_times([event(i, n) for n, i in enumerate(ids, 1)]))).messages[1:]
     assert [m["fields"]["timestamp"] - fleet.T0 for m in found] == [first, first + 59_990, first + 60_007]
     assert [m["fields"]["activity_type"] for m in found] == [i % 255 & 31 for i in ids]
+
+
+def test_counters_that_look_absent():
+    """A counter of only ones can't be written in four bytes."""
+    ids = [999] * 7 + [302, 5, 999]
+    found = fit.parse(fleet.whole(fleet._shared_bytes([event(i, n) for n, i in enumerate(ids, 1)]))).messages
+    sums = [4_294_960_000 + sum(x % 1000 for x in ids[:n]) for n in range(1, len(ids) + 1)]
+    assert sums[7] == 2**32 - 1
+    assert [m["fields"]["accumulated_power"] for m in found] == sums
