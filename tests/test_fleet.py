@@ -77,3 +77,11 @@ def test_counters_that_look_absent():
     sums = [4_294_960_000 + sum(x % 1000 for x in ids[:n]) for n in range(1, len(ids) + 1)]
     assert sums[7] == 2**32 - 1
     assert [m["fields"]["accumulated_power"] for m in found] == sums
+
+
+def test_tables_are_made_when_asked_for(spark, tmp_path):
+    """Messages need no sessions, laps no records with their owners."""
+    (tmp_path / "events.parquet").symlink_to(f"{SF}/events.parquet")
+    made = lambda: {name for _, sf_dir, name in fleet._WRITTEN if sf_dir == str(tmp_path)}
+    assert fleet.fit_messages(spark, str(tmp_path)).count() and made() == {"messages"}
+    assert fleet.fit_laps(spark, str(tmp_path)).count() and made() == {"messages", "sessions"}
