@@ -323,6 +323,23 @@ def discrepancies(declared: DataFrame, derived: DataFrame) -> DataFrame:
     return matching.reconcile(flat, derived.select(*OWN, *fields), OWN, fields)
 
 
+def _first_stops(found: DataFrame, stops: DataFrame) -> DataFrame:
+    """(keys, i, auto) of the first stop by its place in the file that lies in a gap, both ends included.
+
+    Gaps of a session only meet at their ends. They are sorted by time together with the stops, so a stop looks at the
+    last gap that began, and at the one before it, which may end where this one begins."""
+    w = series.over(OWN, ["t"])
+    gap = F.struct("i", "t", "end_t")
+    line = found.select(*OWN, "t", gap.alias("gap"), F.lag(gap).over(w).alias("ended"), F.lit(0).alias("side"))
+    spans = found.groupBy(*OWN).agg(F.min("t").alias("a"), F.max("end_t").alias("b"))
+    held = stops.join(spans, PART).where(F.col("stop_t").between(F.col("a"), F.col("b"))).select(*OWN, F.col("stop_t").alias("t"), F.lit(1).alias("side"), "stop_i", "auto")
+    last = Window.partitionBy(*OWN).orderBy("t", "side")
+    both = line.unionByName(held, allowMissingColumns=True).withColumns({c: F.last(F.when(F.col("side") == 0, F.struct("gap", "ended")), ignorenulls=True).over(last)[c] for c in ("gap", "ended")})
+    near = both.where("side = 1").select(*OWN, "stop_i", "auto", F.col("t").alias("stop_t"), F.explode(F.array("gap", "ended")).alias("gap"))
+    near = near.where(F.col("stop_t").between(F.col("gap.t"), F.col("gap.end_t"))).select(*OWN, F.col("gap.i").alias("i"), "stop_i", "auto")
+    return near.groupBy(*OWN, "i").agg(F.min_by("auto", "stop_i").alias("auto"))
+
+
 def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """Gaps of 10 s and more between records, each with the first kind that fits: corruption (bytes were skipped between
     the two), manual_stop or auto_pause (the first stop that lies in it), post_timer (after the timer's last stop),
@@ -333,8 +350,7 @@ def gaps(owned: DataFrame, messages: DataFrame, files: DataFrame | None = None,
     found = found.where(F.col("gap_us") >= LEAST_GAP_S * series.MICROS).select(*OWN, "i", "t", "end_t", "byte_offset", "end_offset", "gap_us")
     control = _control(messages)
     stops = control.where("event_type IN ('stop', 'stop_all')").select(*PART, F.col("i").alias("stop_i"), F.col("t").alias("stop_t"), "auto")
-    on = [found[k] == stops[k] for k in PART] + [stops["stop_t"].between(found["t"], found["end_t"])]
-    first = found.join(stops, on).groupBy(*(found[k] for k in [*OWN, "i"])).agg(F.min_by("auto", "stop_i").alias("auto"))
+    first = _first_stops(found, stops)
     last = _placed(control.withColumnRenamed("timer", "state"), messages, held).groupBy(*OWN).agg(F.max_by(F.struct("state", F.col("t").alias("at")), F.struct("t", "i")).alias("last"))
     found = found.join(first, [*OWN, "i"], "left").join(last, OWN, "left")
     corrupt = F.lit(False)

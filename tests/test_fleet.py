@@ -5,7 +5,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from fitlake.plans import fleet
+from fitlake.plans import activity, fleet
+from fitlake.plans.keep import keep
 from fitlake.sources import fit
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,15 @@ def test_tables_are_made_when_asked_for(spark, tmp_path):
     made = lambda: {name for _, sf_dir, name in fleet._WRITTEN if sf_dir == str(tmp_path)}
     assert fleet.fit_messages(spark, str(tmp_path)).count() and made() == {"messages"}
     assert fleet.fit_laps(spark, str(tmp_path)).count() and made() == {"messages", "sessions"}
+
+
+def test_gaps_that_meet_at_a_stop(spark):
+    """A stop where two gaps meet lies in both; gaps and stops meet on a sorted line, not in pairs."""
+    t0 = fleet.T0
+    rows = [fleet.synthesize("record", {"timestamp": t0 + s}) for s in (0, 40, 80, 120, 160)]
+    stops = [fleet._timer(t0 + 40, "stop_all", 1), fleet._timer(t0 + 100, "stop", 0), fleet._timer(t0 + 90, "stop", 1)]
+    found = keep(fit.messages_of(spark.createDataFrame([("a", bytearray(fleet.encode([*rows, *stops])))], "file_id string, content binary")), "found")
+    held, owned = activity.kept(found)
+    gaps = activity.gaps(owned, found, held=held)
+    assert [(r.t // 10**6 - t0, r.kind) for r in gaps.orderBy("t").collect()] == [(0, "auto_pause"), (40, "auto_pause"), (80, "manual_stop"), (120, "post_timer")]
+    assert not [line for line in plan_of(gaps).splitlines() if "Join" in line and "stop_t" in line and "end_t" in line]
