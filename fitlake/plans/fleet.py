@@ -11,11 +11,11 @@ import gzip
 import io
 import struct
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,8 +109,8 @@ def _timer(t: int, kind: str, data: int | None = None) -> dict:
     return synthesize("event", {"timestamp": t, "event": "timer", "event_type": kind, "data": data})
 
 
-def workout(user: list[Event]) -> bytes:
-    """A file with records, laps, a session that says more distance than there is, zones, and stops before errors."""
+def _workout(user: list[Event]) -> list[dict]:
+    """The messages of a file with records, laps, a session that says more distance than there is, zones, and stops before errors."""
     t, uid = [x.t for x in user], user[0].user_id
     span, metres = t[-1] - t[0], 3 * (len(t) - 1)
     maker = {"type": "activity", "time_created": t[0], "manufacturer": 1, "product": uid % 50, "serial_number": 1000 + uid}
@@ -131,7 +131,11 @@ def workout(user: list[Event]) -> bytes:
     said = {"total_elapsed_time": span, "total_timer_time": span / 2, "total_distance": metres * 1.1 if uid % 3 == 0 else metres, "avg_heart_rate": 100, "max_heart_rate": 250}
     out.append(synthesize("session", {"timestamp": t[-1], "message_index": 0, "start_time": t[0], "sport": "running" if uid % 2 else "cycling"} | said))
     out.append(synthesize("activity", {"timestamp": t[-1], "num_sessions": 1, "total_timer_time": span / 2}))
-    return encode(out)
+    return out
+
+
+def workout(user: list[Event]) -> bytes:
+    return encode(_workout(user))
 
 
 def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,15 +613,11 @@ def _damaged(user: list[Event]) -> bytes:
 def fit_damage(spark, sf_dir):
     """Containers, chains, junk and broken checksums: what is read, and the codes of what isn't as it should be."""
 
-    def run(batches):
-        for batch in batches:
-            found = [fit.parse(bytes(content)) for content in batch["content"]]
-            yield pd.DataFrame({
-                "user_id": batch["file_id"].astype("int64"), "error": [x.error for x in found], "parts": [x.parts for x in found],
-                "codes": [",".join(p["code"] for p in x.provenance) for x in found], "n_messages": [len(x.messages) for x in found],
-            })
+    def read(content: bytes) -> list[dict]:
+        found = fit.parse(content)
+        return [{"error": found.error, "parts": found.parts, "codes": ",".join(p["code"] for p in found.provenance), "n_messages": len(found.messages)}]
 
-    return _files(rows(spark, sf_dir), _damaged).mapInPandas(run, "user_id long, error string, parts int, codes string, n_messages long")
+    return _told(_files(rows(spark, sf_dir), _damaged), read, "user_id long, error string, parts int, codes string, n_messages long")
 
 
 # Verbs.
@@ -626,23 +626,41 @@ def fit_damage(spark, sf_dir):
 def _verb(spark: SparkSession, sf_dir: str, change: Callable[[bytes], bytes]) -> DataFrame:
     """The messages of all files after a verb."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                columns = [pa.array([file_id.as_py()], pa.string()), pa.array([change(content.as_py())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "content"])
+
+    return fit.messages_of(workouts(spark, sf_dir).mapInArrow(run, "file_id string, content binary"))
+
+
+def _told(files: DataFrame, tell: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    """What ``tell`` says of each file, one file at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    shape = pa.schema([(name, kinds[c.split()[1]]) for name, c in zip(names, schema.split(", "), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(content=[change(bytes(c)) for c in batch["content"]])
+            found = []
+            for i, content in zip(batch["file_id"], batch["content"], strict=True):
+                user_id = int(i.as_py())
+                found += [{"user_id": user_id} | {k: x[k] for k in names[1:]} for x in tell(content.as_py())]
+                if len(found) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(found, shape)
+                    found = []
+            yield pa.RecordBatch.from_pylist(found, shape)
 
-    return fit.messages_of(workouts(spark, sf_dir).mapInPandas(run, "file_id string, content binary"))
+    return files.mapInArrow(run, schema)
 
 
 @query(f"SELECT user_id, true AS same, count(*) > 0 AS any FROM events GROUP BY user_id")
 def fit_rewritten(spark, sf_dir):
     """What was read, written again: the same bytes, and the same messages."""
 
-    def run(batches):
-        for batch in batches:
-            again = [bytes(c) == encode(fit.parse(bytes(c)).messages) for c in batch["content"]]
-            yield pd.DataFrame({"user_id": batch["file_id"].astype("int64"), "same": again, "any": [len(c) > 0 for c in batch["content"]]})
-
-    return workouts(spark, sf_dir).mapInPandas(run, "user_id long, same boolean, any boolean")
+    tell = lambda c: [{"same": c == encode(fit.parse(c).messages), "any": len(c) > 0}]
+    return _told(workouts(spark, sf_dir), tell, "user_id long, same boolean, any boolean")
 
 
 @query(f"""SELECT user_id, count(*) AS n_records, min(t) + 3600 AS a, max(t) + 3600 AS b, 'rowing' AS sport, 77 AS manufacturer FROM {_R} GROUP BY user_id""")
@@ -682,17 +700,6 @@ def fit_scrubbed(spark, sf_dir):
     )
 
 
-def _told(files: DataFrame, tell: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            found = [{"user_id": int(i)} | x for i, c in zip(batch["file_id"], batch["content"], strict=True) for x in tell(bytes(c))]
-            yield pd.DataFrame(found, columns=names)
-
-    return files.mapInPandas(run, schema)
-
-
 @query("""SELECT user_id, category, message, field, 1::BIGINT AS count FROM (SELECT DISTINCT user_id FROM events), (VALUES
   ('identity', 'user_profile', NULL), ('identity', 'user_profile', 'age'), ('identity', 'user_profile', 'friendly_name'), ('serials', 'file_id', 'serial_number')) v(category, message, field)""")
 def fit_disclosed(spark, sf_dir):
@@ -720,25 +727,20 @@ def fit_validated(spark, sf_dir):
 
 
 def _without_summary(user: list[Event]) -> bytes:
-    kept = [m for m in fit.parse(workout(user)).messages if m["global_num"] in (20, 21)]
-    return encode(kept)[:-7]
+    return encode([m for m in _workout(user) if m["global_num"] in (20, 21)])[:-7]
 
 
 @query(f"""SELECT user_id, count(*) - 1 + (max(n) = 0)::INT AS n_records, 1::BIGINT AS n_sessions, 1::BIGINT AS n_laps, 1::BIGINT AS n_activities, true AS clean FROM {_R} GROUP BY user_id HAVING count(*) > 1""")
 def fit_repaired(spark, sf_dir):
     """Files without their end and summaries, made whole: the last record is lost, all else is there again."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i, c in zip(batch["file_id"], batch["content"], strict=True):
-                try:
-                    again = fit.parse(verbs.repair(bytes(c)))
-                except verbs.VerbError:
-                    continue
-                count = lambda number, m=again.messages: sum(x["global_num"] == number for x in m)
-                out.append((int(i), count(20), count(18), count(19), count(34), not again.provenance))
-            yield pd.DataFrame(out, columns=["user_id", "n_records", "n_sessions", "n_laps", "n_activities", "clean"])
+    def mended(content: bytes) -> list[dict]:
+        try:
+            again = fit.parse(verbs.repair(content))
+        except verbs.VerbError:
+            return []
+        counts = Counter(m["global_num"] for m in again.messages)
+        return [{"n_records": counts[20], "n_sessions": counts[18], "n_laps": counts[19], "n_activities": counts[34], "clean": not again.provenance}]
 
     files = _files(rows(spark, sf_dir), _without_summary)
-    return files.mapInPandas(run, "user_id long, n_records long, n_sessions long, n_laps long, n_activities long, clean boolean")
+    return _told(files, mended, "user_id long, n_records long, n_sessions long, n_laps long, n_activities long, clean boolean")

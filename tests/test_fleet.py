@@ -98,3 +98,40 @@ def test_gaps_that_meet_at_a_stop(spark):
     gaps = activity.gaps(owned, found, held=held)
     assert [(r.t // 10**6 - t0, r.kind) for r in gaps.orderBy("t").collect()] == [(0, "auto_pause"), (40, "auto_pause"), (80, "manual_stop"), (120, "post_timer")]
     assert not [line for line in plan_of(gaps).splitlines() if "Join" in line and "stop_t" in line and "end_t" in line]
+
+
+def held_at_once(monkeypatch, query, spark, sf_dir):
+    """The most files of which messages are held at once while a query's Python function runs over one batch of all."""
+    import weakref
+
+    import pyarrow as pa
+
+    class Found(fit.Parsed):
+        pass
+
+    alive, most, batch = weakref.WeakSet(), [0], []
+    content = fleet.encode(fleet._workout([event(k, k) for k in range(1, 9)]))
+
+    def parse(data):
+        out = Found(messages=[{"global_num": 20}])
+        alive.add(out)
+        most[0] = max(most[0], len(alive))
+        return out
+
+    def caught(self, run, schema):
+        batch.append(run)
+        return self
+
+    monkeypatch.setattr(Found, "__hash__", object.__hash__)
+    monkeypatch.setattr(fit, "parse", parse)
+    monkeypatch.setattr(fleet, "_files", lambda found, build: found)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", caught)
+    query(spark, sf_dir)
+    rows = pa.RecordBatch.from_pydict({"file_id": [str(k) for k in range(50)], "content": [content] * 50})
+    assert sum(x.num_rows for x in batch[-1](iter([rows]))) == 50
+    return most[0]
+
+
+def test_damage_holds_one_file(spark, monkeypatch):
+    """Messages of a file are let go before the next is read."""
+    assert held_at_once(monkeypatch, fleet.fit_damage, spark, SF) <= 2
