@@ -666,7 +666,7 @@ def fit_rewritten(spark, sf_dir):
 @query(f"""SELECT user_id, count(*) AS n_records, min(t) + 3600 AS a, max(t) + 3600 AS b, 'rowing' AS sport, 77 AS manufacturer FROM {_R} GROUP BY user_id""")
 def fit_edited(spark, sf_dir):
     """Another sport, another maker, all times an hour later."""
-    found = _verb(spark, sf_dir, lambda c: verbs.edit(c, sport="rowing", manufacturer=77, time_shift_s=3600))
+    found = keep(_verb(spark, sf_dir, lambda c: verbs.edit(c, sport="rowing", manufacturer=77, time_shift_s=3600)), "edited")
     held = activity.sessions(found).select(*activity.PART, "a", "b", "sport")
     made = activity.owners(found).select(*activity.PART, "manufacturer")
     n = activity.records(found).groupBy(*activity.PART).agg(F.count(F.lit(1)).alias("n_records"))
@@ -684,7 +684,7 @@ def fit_trimmed(spark, sf_dir):
         except verbs.VerbError:
             return b""
 
-    found = _verb(spark, sf_dir, first)
+    found = keep(_verb(spark, sf_dir, first), "trimmed")
     held = activity.sessions(found).select(*activity.PART, "a", "b", "declared.elapsed_time_s", "declared.distance_m")
     n = activity.records(found).groupBy(*activity.PART).agg(F.count(F.lit(1)).alias("n_records"))
     return held.join(n, activity.PART).select(_user(), "n_records", _SECONDS("a"), _SECONDS("b"), "elapsed_time_s", "distance_m")

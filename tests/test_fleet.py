@@ -135,3 +135,9 @@ def held_at_once(monkeypatch, query, spark, sf_dir):
 def test_damage_holds_one_file(spark, monkeypatch):
     """Messages of a file are let go before the next is read."""
     assert held_at_once(monkeypatch, fleet.fit_damage, spark, SF) <= 2
+
+
+def test_verbs_are_done_once(spark):
+    """What a verb writes is kept, however often the plan of a query names it."""
+    for name in ("fit_trimmed", "fit_edited"):
+        assert "MapIn" not in plan_of(getattr(fleet, name)(spark, SF))
