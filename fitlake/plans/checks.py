@@ -183,9 +183,10 @@ def positions(judged: DataFrame) -> DataFrame:
     return _counted(judged, OWN, {"NULL_ISLAND": F.col("null_island"), "GPS_SPIKES": F.col("spike")})
 
 
-def findings(messages: DataFrame) -> DataFrame:
-    """All findings of all parts and sessions."""
-    held, owned = activity.kept(messages)
+def findings(messages: DataFrame, held: DataFrame | None = None, owned: DataFrame | None = None) -> DataFrame:
+    """All findings of all parts and sessions. ``held`` and ``owned`` spare making sessions and owners anew."""
+    if held is None or owned is None:
+        held, owned = activity.kept(messages)
     return _union([
         sensors(owned, held), summaries(owned, held), laps_and_lengths(owned, messages, held), parts(messages), pairs(messages),
         outside(owned, held), positions(judged_positions(owned, messages, held)),

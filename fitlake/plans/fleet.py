@@ -345,7 +345,7 @@ SELECT user_id, 'LAP_ZERO_DURATION' AS code, count(*)::DOUBLE AS value FROM l WH
 UNION ALL SELECT user_id, 'LAP_COVERAGE_GAP', s::DOUBLE FROM (SELECT user_id, sum(d) AS s FROM l GROUP BY user_id) JOIN (SELECT user_id, max(t) - min(t) AS span FROM {_R} GROUP BY user_id) USING (user_id) WHERE span > 0 AND s < 0.9 * span""")
 def fit_findings(spark, sf_dir):
     """What is doubtful about laps."""
-    found = checks.findings(messages(spark, sf_dir)).where(F.col("code").isin("LAP_ZERO_DURATION", "LAP_COVERAGE_GAP"))
+    found = checks.findings(*_fleet(spark, sf_dir)).where(F.col("code").isin("LAP_ZERO_DURATION", "LAP_COVERAGE_GAP"))
     return found.select(_user(), "code", "value")
 
 
