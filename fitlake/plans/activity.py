@@ -216,6 +216,17 @@ def long_streams(messages: DataFrame) -> DataFrame:
     return rows.groupBy(*PART, "i", "t", plain.alias("stream")).agg(first.alias("value"))
 
 
+def row_streams(messages: DataFrame) -> DataFrame:
+    """(keys, i, said): per record what ``long_streams`` has, as an array of (stream, value) by name, found without a shuffle of values."""
+    one = F.transform(F.map_entries(F.from_json("fields", "map<string,string>")), lambda x: F.struct(stream_name(x["key"]).alias("label"), x["value"].try_cast("double").alias("value")))
+    known = F.filter(one, lambda x: x["value"].isNotNull() & (x["label"] != "timestamp"))
+    ranked = F.transform(known, lambda x: F.struct(F.regexp_replace(x["label"], "^enhanced_", "").alias("stream"), (~x["label"].startswith("enhanced_")).alias("plain"), x["label"].alias("label"), x["value"].alias("value")))
+    rows = messages.where("global_num = 20").select(*PART, F.col("msg_seq").alias("i"), F.sort_array(ranked).alias("ranked"))
+    first = F.filter("ranked", lambda x, k: (k == 0) | (F.get("ranked", k - 1)["stream"] != x["stream"]))
+    said = F.transform(first, lambda x: F.struct(x["stream"].alias("stream"), x["value"].alias("value")))
+    return rows.select(*PART, "i", said.alias("said"))
+
+
 def stream_totals(streams: DataFrame, owned: DataFrame) -> DataFrame:
     """Per session and stream: n, avg, max; positions, distance and the kind of activity have no mean."""
     named = streams.where(~F.col("stream").isin("position_lat", "position_long", "distance", "activity_type"))

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from . import activity
 from .activity import OWN, PART
+from .keep import keep
 
 SCHEMA_VERSION = 1
 
 
 def part_types(messages: DataFrame) -> DataFrame:
     """(keys of a part, file_type): what its first file_id says; unknown, or unknown_<n>, where nothing names it."""
-    said = F.get_json_object("fields", "$.type")
+    said = F.when(F.col("global_num") == 0, F.get_json_object("fields", "$.type"))  # other messages aren't parsed
     first = F.min_by(F.coalesce(said, F.lit("")), F.when(F.col("global_num") == 0, F.col("msg_seq")))
     named = messages.groupBy(*PART).agg(first.alias("said"))
     kind = F.when(F.coalesce("said", F.lit("")) == "", "unknown").when(F.col("said").rlike("^[0-9]+$"), F.concat(F.lit("unknown_"), "said")).otherwise(F.col("said"))
@@ -29,9 +30,9 @@ def primary_parts(types: DataFrame) -> DataFrame:
     return types.groupBy("file_id").agg(best.alias("best")).select("file_id", F.col("best.part").alias("part"))
 
 
-def of_activities(messages: DataFrame) -> DataFrame:
-    """The messages of the parts that are activities: only these have sessions."""
-    return messages.join(part_types(messages).where("file_type = 'activity'").select(*PART), PART, "left_semi")
+def of_activities(messages: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """The messages of the parts that are activities: only these have sessions. ``types`` spares finding them anew."""
+    return messages.join((part_types(messages) if types is None else types).where("file_type = 'activity'").select(*PART), PART, "left_semi")
 
 
 def known_only(messages: DataFrame) -> DataFrame:
@@ -47,13 +48,17 @@ def without_pii(messages: DataFrame) -> DataFrame:
 
 def session_streams(messages: DataFrame, owned: DataFrame) -> DataFrame:
     """(keys, times, streams): seconds of a session's records, and each stream by name with a value or null for each of them."""
-    axis = owned.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("t", "i"))).alias("axis"))
-    held = activity.long_streams(messages).join(owned.select(*OWN, "i"), [*PART, "i"])
-    held = held.groupBy(*OWN, "stream").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("by_row"))
-    lined = held.join(axis, OWN).withColumn("values", F.transform("axis", lambda x: F.element_at("by_row", x["i"])))
-    streams = lined.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("stream", "values"))).alias("streams"))
+    said = activity.row_streams(messages).dropDuplicates([*PART, "i"])
+    rows = owned.select(*OWN, "t", "i").join(said, [*PART, "i"], "left")
+    axis = rows.groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("t", "i", "said"))).alias("axis"))
+    # Each row has its own small map: a map of all rows would be searched from its start for each of them.
+    maps = F.transform("axis", lambda x: F.map_from_entries(x["said"]))
+    names = F.sort_array(F.array_distinct(F.flatten(F.transform("axis", lambda x: F.coalesce(x["said"]["stream"], F.array().cast("array<string>"))))))
+    values = lambda name: F.transform("by_row", lambda row: F.element_at(row, name))
+    streams = F.transform("names", lambda name: F.struct(name.alias("stream"), values(name).alias("values")))
     times = F.transform("axis", lambda x: (x["t"] / 1_000_000).cast("long"))
-    return axis.join(streams, OWN, "left").select(*OWN, times.alias("times"), "streams")
+    lined = axis.withColumns({"names": names, "by_row": maps})
+    return lined.select(*OWN, times.alias("times"), F.when(F.size("names") > 0, streams).alias("streams"))
 
 
 def documents(messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -62,8 +67,8 @@ def documents(messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     Only activities have sessions, and only where there is one are their records left to the streams. ``files``
     (``read_files``) adds error and provenance. Write ``messages`` as a table before, so that files are parsed once.
     """
-    types = part_types(messages)
-    acts = of_activities(messages)
+    types = keep(part_types(messages), "types")
+    acts = of_activities(messages, types)
     held, owned = activity.kept(acts)
     listed = lambda df, name, *order: df.groupBy(*OWN).agg(
         F.sort_array(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (*OWN, *order)]))).alias(name)

@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from fitlake.plans import activity, fleet
+from fitlake.plans import activity, document, fleet
 from fitlake.plans.keep import keep
 from fitlake.sources import fit
 
@@ -141,3 +141,14 @@ def test_verbs_are_done_once(spark):
     """What a verb writes is kept, however often the plan of a query names it."""
     for name in ("fit_trimmed", "fit_edited"):
         assert "MapIn" not in plan_of(getattr(fleet, name)(spark, SF))
+
+
+def test_streams_without_maps_of_whole_sessions(spark):
+    """Enhanced fields win, rows without a stream have null, and no map of all rows is searched for each of them."""
+    rows = [fleet.synthesize("record", {"timestamp": fleet.T0 + k, "speed": 1.0, "enhanced_speed": 2.0 if k != 1 else None, "heart_rate": 90 + k if k else None}) for k in range(3)]
+    found = keep(fit.messages_of(spark.createDataFrame([("a", bytearray(fleet.encode(rows)))], "file_id string, content binary")), "found")
+    out = document.session_streams(found, activity.kept(found)[1])
+    assert "stream" in plan_of(out) and "map_from_entries(collect_list" not in plan_of(out)
+    row = out.collect()[0]
+    assert row.times == [fleet.T0, fleet.T0 + 1, fleet.T0 + 2]
+    assert [(x.stream, x["values"]) for x in row.streams] == [("heart_rate", [None, 91.0, 92.0]), ("speed", [2.0, 1.0, 2.0])]
