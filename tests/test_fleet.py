@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from fitlake.plans import activity, document, fleet
+from fitlake.plans import activity, checks, document, fleet
 from fitlake.plans.keep import keep
 from fitlake.sources import fit
 
@@ -152,3 +152,11 @@ def test_streams_without_maps_of_whole_sessions(spark):
     row = out.collect()[0]
     assert row.times == [fleet.T0, fleet.T0 + 1, fleet.T0 + 2]
     assert [(x.stream, x["values"]) for x in row.streams] == [("heart_rate", [None, 91.0, 92.0]), ("speed", [2.0, 1.0, 2.0])]
+
+
+def test_findings_take_given_tables(spark, monkeypatch):
+    """Sessions and owners that are there are not made anew."""
+    found = fleet.messages(spark, SF)
+    held, owned = fleet._held(spark, SF), fleet._owned(spark, SF)
+    monkeypatch.setattr(activity, "kept", None)
+    assert checks.findings(found, held, owned).columns == ["file_id", "part", "session", "code", "value"]
